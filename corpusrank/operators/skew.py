@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusrank.shared import materialise
+
 
 def join_statistics(rows: DataFrame, stats: DataFrame, key: str, count: str, spread: Column, share: int = 2_000, salts: int = 64) -> DataFrame:
     """``rows`` joined with the one row that ``stats`` has of each ``key``; rows without one are dropped.
@@ -18,3 +20,19 @@ def join_statistics(rows: DataFrame, stats: DataFrame, key: str, count: str, spr
     rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     copies = F.when(F.col(count) * share > F.lit(total), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     return rows.join(stats.withColumn("_salt", F.explode(copies)), [key, "_salt"]).drop("_salt")
+
+
+def group_positions(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place (1, 2, ...) in its group by ``order``, without gathering a group in one task.
+
+    Rows are range-partitioned by group and order and numbered within their range; a group that spans several ranges adds the
+    counts of the earlier ones. Fewer groups span ranges than there are ranges, so those counts are broadcast.
+    """
+    spread = materialise(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = spread.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    several = Window.partitionBy(group)
+    counts = counts.withColumn("_of", F.count(F.lit(1)).over(several)).where("_of > 1")
+    before = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), (F.sum("_n").over(several.orderBy("_range")) - F.col("_n")).alias("_before"))
+    numbered = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_range", group).orderBy(*order)))
+    joined = numbered.join(F.broadcast(before), (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
+    return joined.withColumn(name, (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_at", "_g", "_r", "_before")
