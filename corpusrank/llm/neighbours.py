@@ -163,3 +163,42 @@ def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int =
     near = F.slice(F.filter("near", lambda x: (F.col("kind") != "item") | (x["n"] != F.col("id"))), 1, k)
     found = members.join(lists, members["cls"] == lists["p"]).select(F.col("kind").alias("probe_kind"), F.col("id").alias("probe_id"), F.explode(near).alias("x"))
     return found.select("probe_kind", "probe_id", F.col("x.n").alias("neighbour_id"), F.col("x.cosine").alias("cosine"))
+
+
+def exact_neighbours(items: DataFrame, probes: DataFrame, k: int = 5, least: float = 0.85, block: int = 4096) -> DataFrame:
+    """(probe_id, neighbour_id, cosine) by comparing every probe with every item, both ``(id, vector)``, in blocks of vectors.
+
+    What ``similar_vectors`` approximates, for measuring it; a probe is not its own neighbour. Each item block is sent to each block of
+    probes of its number of dims; a task only ever holds two blocks and the k best so far of each of its probes.
+    """
+
+    def ready(df: DataFrame) -> DataFrame:
+        df = df.select("id", F.col("vector").cast("array<float>").alias("vector")).where(usable(F.col("vector")) & F.col("id").isNotNull())
+        return df.select("id", F.size("vector").alias("dims"), "vector")
+
+    def pack(df: DataFrame, count: int) -> DataFrame:
+        blocks = max(1, math.ceil(count / block))
+        keyed = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        return keyed.groupBy("dims", "block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("vector")).alias("flat"))  # ``block`` vectors, about
+
+    probes, items = ready(probes), ready(items)
+    p, c = pack(probes, probes.count()), pack(items, items.count())
+    both = p.select("dims", F.col("ids").alias("pi"), F.col("flat").alias("pv")).join(c.select("dims", F.col("ids").alias("ci"), F.col("flat").alias("cv")), "dims")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                dims = batch.column("dims")[i].as_py()
+                pi, ci = (batch.column(n)[i].values.to_numpy() for n in ("pi", "ci"))
+                x, y = (batch.column(n)[i].values.to_numpy().astype(np.float64).reshape(-1, dims) for n in ("pv", "cv"))
+                x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+                x, y = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, y))
+                for at in range(0, len(x), 512):
+                    s = x[at : at + 512] @ y.T
+                    s[pi[at : at + 512][:, None] == ci[None, :]] = -2
+                    r, q = np.nonzero(s >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(pi[at : at + 512][r]), pa.array(ci[q]), pa.array(s[r, q])], ["probe_id", "neighbour_id", "cosine"])
+
+    near = both.mapInArrow(run, "probe_id long, neighbour_id long, cosine double")
+    placed = near.withColumn("r", F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc(F.round("cosine", 9)), "neighbour_id")))
+    return placed.where(F.col("r") <= k).drop("r")
