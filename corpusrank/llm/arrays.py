@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Maximal run of letters or digits.
@@ -41,7 +42,7 @@ def batches(it: Iterator[pa.RecordBatch], text: int, most: int = BATCH_CHARS) ->
     for batch in it:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at, run = 0, 0
         for i, n in enumerate(sizes):
             if run and run + n > most:
