@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusrank.shared import partitions
+
 #: Pieces that one task packs at a time. Containers are as full as their average, so more would hardly fill them better.
 CELL_ITEMS = 2048
 
@@ -96,4 +98,6 @@ def packed(items: DataFrame, key: str, size: str, capacity: int = 4096, cell_ite
             window[~full] = full.sum() + pack_cell(sizes[~full], capacity)
         return pdf.assign(container=(int(pdf["cell"].iloc[0]) << 24) + window)[["key", "piece", "pieces", "n_tokens", "container"]]
 
-    return cut.groupBy("cell").applyInPandas(run, f"key {kind}, piece long, pieces long, n_tokens long, container long")
+    # a cell is little data but much work, so its size must not decide how many tasks there are
+    tasks = min(cells, partitions(items.sparkSession, math.ceil(cells / 8)))
+    return cut.repartition(tasks, "cell").groupBy("cell").applyInPandas(run, f"key {kind}, piece long, pieces long, n_tokens long, container long")
