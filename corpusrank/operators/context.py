@@ -11,7 +11,7 @@ from corpusrank.functions import text as t
 
 # A context's size and its shares.
 DEFAULT_CONTEXT, RESERVE, INDEX, PAGES, ONE_PAGE, ONE_PAGE_LEAST = 204_800, 0.15, 0.05, 0.50, 0.30, 5_000
-SINGLE_PASS_MOST, SINGLE_PASS_LEAST, RESERVED_LEAST = 300_000, 12_000, 12_000
+SINGLE_PASS_MOST, SINGLE_PASS_LEAST, RESERVED_LEAST = 600_000, 20_000, 12_000
 # The generation's token limits from a context size on.
 GENERATION_TOKENS = ((512_000, 32_000), (256_000, 24_000), (128_000, 16_000), (0, 8_192))
 TRIM_MARKER = "\n\n[...trimmed for prompt budget...]"

@@ -43,7 +43,11 @@ def index_documents(docs: DataFrame, keep: bool = True) -> LexicalIndex:
     if keep:
         tokens = materialise(tokens, "tokens")
     dl = F.size("title") + F.size("headings") + F.size("body")
-    tagged = tokens.select("key", dl.alias("dl"), F.explode(F.concat(*(F.transform(c, lambda w, i=i: F.struct(w.alias("term"), F.lit(i).alias("c"))) for i, c in enumerate(COLUMNS)))).alias("x"))
+
+    def tag(i: int):
+        return lambda w: F.struct(w.alias("term"), F.lit(i).alias("c"))
+
+    tagged = tokens.select("key", dl.alias("dl"), F.explode(F.concat(*(F.transform(c, tag(i)) for i, c in enumerate(COLUMNS)))).alias("x"))
     counts = [F.count(F.when(F.col("x.c") == i, 1)).alias(f"tf_{c}") for i, c in enumerate(COLUMNS)]
     postings = tagged.groupBy("key", F.col("x.term").alias("term")).agg(F.first("dl").alias("dl"), *counts)
     if keep:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusrank.plans import pages
+from corpusrank.plans import pages, retrieval
 
-FLAGSHIP = "p1_found"
-QUERIES = {**pages.QUERIES}
-SQL = {**pages.SQL}
+FLAGSHIP = "l4_bm25"
+QUERIES = {**retrieval.QUERIES, **pages.QUERIES}
+SQL = {**retrieval.SQL, **pages.SQL}
