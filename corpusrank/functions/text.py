@@ -181,7 +181,7 @@ def snippet(content: Column, anchor: Column, around: int = 80) -> Column:
 
 def trimmed(x: Column, most: int, marker: str = "\n\n[...truncated...]") -> Column:
     """The first ``most`` characters and a marker, if there are more."""
-    return F.when(F.length(x) > most, F.concat(F.rtrim(F.substring(x, 1, most)), F.lit(marker))).otherwise(x)
+    return F.when(F.length(x) > most, F.concat(F.regexp_replace(F.substring(x, 1, most), r"(?U)\s+$", ""), F.lit(marker))).otherwise(x)
 
 
 def language(x: Column, sample: int = 2000) -> Column:

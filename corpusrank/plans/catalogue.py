@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusrank.plans import pages, retrieval
+from corpusrank.plans import pages, retrieval, texts
 
 FLAGSHIP = "l4_bm25"
-QUERIES = {**retrieval.QUERIES, **pages.QUERIES}
-SQL = {**retrieval.SQL, **pages.SQL}
+QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **pages.QUERIES}
+SQL = {**retrieval.SQL, **texts.SQL, **pages.SQL}

@@ -638,10 +638,29 @@ hops AS (SELECT query_id, key, dst AS mid FROM loose JOIN merged ON src = key),
 SELECT e.query_id, e.key, list_sort(list_distinct(list(d.title))) AS related FROM ends e JOIN fused f ON f.query_id = e.query_id AND f.key = e.node AND f.frank <= 10 JOIN wiki_docs d ON d.path = e.node GROUP BY ALL"""
 
 
+_LADDER = f"""{_CAL_AS}, {_FENCE}, {_LANES.replace(_INDEX + ",", "")}, {_SUBSTRING},
+heard_all AS (SELECT query_id, key, score, rank FROM bm25 JOIN asked USING (query_id) WHERE {_PLAIN} AND rank <= 50
+  UNION ALL SELECT query_id, key, CAST(s.score AS DOUBLE), row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, key) AS rank FROM substring s JOIN asked USING (query_id) WHERE NOT {_PLAIN} AND s.score > 0 QUALIFY rank <= 50),
+counts AS (SELECT a.query_id, {_PLAIN} AS plain, (SELECT count(*) FROM heard_all h WHERE h.query_id = a.query_id) AS lexical_hits, (SELECT count(*) FROM paged p WHERE p.query_id = a.query_id AND prank <= 20) AS vector_hits, (SELECT max(score) FROM heard_all h WHERE h.query_id = a.query_id) AS top FROM asked a WHERE trim(coalesce(query, '')) <> ''),
+gates AS (SELECT *, plain AND lexical_hits > 0 AND vector_hits > 0 AND (SELECT fence FROM fences WHERE quantile = 0.05) > 0 AND top < (SELECT fence FROM fences WHERE quantile = 0.05) AS abstained FROM counts),
+parts AS (SELECT query_id, key, 1.0 / (3 + rank) AS part FROM heard_all JOIN gates USING (query_id) WHERE NOT abstained UNION ALL SELECT query_id, page_id, 1.0 / (3 + prank) FROM paged JOIN gates USING (query_id) WHERE prank <= 20),
+fused AS (SELECT query_id, key, CAST(sum(part) AS DOUBLE) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(part), 12) DESC, key) AS frank FROM parts WHERE key IN (SELECT path FROM wiki_docs) GROUP BY query_id, key),
+spread AS (SELECT f.* FROM fused f JOIN gates g USING (query_id) WHERE NOT abstained), {_GRAPH}, {_MOVES}, seed AS (SELECT query_id, key AS node, 1.0 / frank AS mass FROM spread WHERE frank <= 10), {_walk_sql("seed")},
+walked AS (SELECT coalesce(m.query_id, f.query_id) AS query_id, coalesce(m.node, f.key) AS key, coalesce(m.mass, 0) AS score, f.frank FROM (SELECT * FROM m{_ROUNDS} WHERE node IN (SELECT path FROM wiki_docs)) m FULL JOIN spread f ON f.query_id = m.query_id AND f.key = m.node),
+placed AS (SELECT query_id, key, score, frank, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, coalesce(frank, 2147483647), key) AS rank FROM walked),
+ranked AS (SELECT query_id, key, score, frank, rank FROM placed WHERE rank <= 10 UNION ALL SELECT query_id, key, f.score, frank, frank FROM fused f JOIN gates USING (query_id) WHERE abstained AND frank <= 10)"""
+
+
 @query
 def f11_search(spark, d):
     """The whole ladder, with mentions as stored."""
-    return _search(spark, d).results.select("query_id", "path", "rank", *six("score"), "kind", "title_match", F.round("vector_score", 6).alias("vector_score"), "related", "snippet")
+    return _search(spark, d).results.select("query_id", "path", "rank", *six("score"), "kind", "title_match", F.round("vector_score", 6).alias("vector_score"), "related")
+
+
+SQL["f11_search"] = f"""WITH {_LADDER}, hops AS (SELECT query_id, key, dst AS mid FROM ranked JOIN merged ON src = key WHERE frank IS NULL), ends AS (SELECT query_id, key, mid AS node FROM hops UNION SELECT h.query_id, h.key, m.dst FROM hops h JOIN merged m ON m.src = h.mid WHERE h.mid NOT IN (SELECT path FROM wiki_docs)),
+behind AS (SELECT e.query_id, e.key, list_sort(list_distinct(list(d.title))) AS related FROM ends e JOIN fused f ON f.query_id = e.query_id AND f.key = e.node AND f.frank <= 10 JOIN wiki_docs d ON d.path = e.node GROUP BY ALL)
+SELECT r.query_id, r.key AS path, r.rank, round(r.score, 6) AS score, l.kind, (p <> '' AND contains(head, p)) OR len(list_filter(w, lambda x: contains(head, x))) > 0 AS title_match, round(v.score, 6) AS vector_score, coalesce(related, []) AS related
+FROM ranked r JOIN low l USING (key) JOIN phrases USING (query_id) JOIN words USING (query_id) LEFT JOIN (SELECT * FROM paged WHERE prank <= 20) v ON v.query_id = r.query_id AND v.page_id = r.key LEFT JOIN behind b ON b.query_id = r.query_id AND b.key = r.key"""
 
 
 @query
@@ -649,6 +668,16 @@ def f10_modes(spark, d):
     return _search(spark, d).lanes
 
 
+SQL["f10_modes"] = f"""WITH {_LADDER} SELECT query_id, lexical_hits, vector_hits, (SELECT count(*) FROM ranked r WHERE r.query_id = g.query_id AND frank IS NULL) AS graph_hits, abstained,
+CASE WHEN vector_hits > 0 AND lexical_hits > 0 AND NOT abstained THEN 'hybrid' WHEN vector_hits > 0 THEN 'vector' ELSE 'keyword' END AS mode FROM gates g"""
+
+
+@query
+def f9_results(spark, d):
+    """Texts of the results: their titles, snippets and provenance."""
+    return _search(spark, d).results.select("query_id", "path", "title", "snippet", "related")
+
+
 def _search(spark, d) -> ladder.Found:
     docs = docs_of(spark, d)
     mentions = linkgraph.with_definitions(mentions_of(spark, d), docs)
@@ -670,7 +699,7 @@ FROM (SELECT size, CASE WHEN size > 0 THEN size ELSE 204800 END AS s FROM (VALUE
 
 
 def _ranked_results(spark, d) -> DataFrame:
-    best = table(spark, d, "search_results").where("not isnan(score)").groupBy("query_id", "path").agg(F.max("score").alias("score"))
+    best = table(spark, d, "search_results").where("score is not null and not isnan(score)").groupBy("query_id", "path").agg(F.max("score").alias("score"))
     placed = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path")))
     return placed.join(docs_of(spark, d).select("path", "title", "content", "kind"), "path").withColumn("related", F.array().cast("array<string>"))
 
@@ -684,7 +713,7 @@ def b3_packed_context(spark, d):
 SQL["b3_packed_context"] = """WITH RECURSIVE best AS (SELECT query_id, path, max(score) AS score FROM search_results WHERE NOT isnan(score) GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM best),
 bodies AS (SELECT p.query_id, p.path, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS i, d.title, d.kind, regexp_replace(d.content, '^\\s+|\\s+$', '', 'g') AS c FROM placed p JOIN wiki_docs d USING (path)),
-sized AS (SELECT query_id, path, i, 6 + length(title) + 2 + length(CASE WHEN kind = 'source' THEN 'source' ELSE 'wiki page' END) + 2 + length(path) + 3 + (CASE WHEN length(c) > 2000 THEN length(rtrim(substr(c, 1, 2000))) + 36 ELSE length(c) END) + 2 AS rest FROM bodies),
+sized AS (SELECT query_id, path, i, 6 + length(title) + 2 + length(CASE WHEN kind = 'source' THEN 'source' ELSE 'wiki page' END) + 2 + length(path) + 3 + (CASE WHEN length(c) > 2000 THEN length(regexp_replace(substr(c, 1, 2000), '\\s+$', '')) + 35 ELSE length(c) END) + 2 AS rest FROM bodies),
 walk AS (
   SELECT query_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS number, '' AS path, CAST(0 AS BIGINT) AS size, false AS took FROM (SELECT DISTINCT query_id FROM sized)
   UNION ALL
