@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusrank.plans import pages, retrieval, texts
+from corpusrank.plans import pages, retrieval, streams, texts
 
 FLAGSHIP = "l4_bm25"
-QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **pages.QUERIES}
-SQL = {**retrieval.SQL, **texts.SQL, **pages.SQL}
+QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **streams.QUERIES, **pages.QUERIES}
+SQL = {**retrieval.SQL, **texts.SQL, **streams.SQL, **pages.SQL}
