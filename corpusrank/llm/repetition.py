@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusrank.llm.arrays import WORD, batches
 
-_SENTENCE, _PARAGRAPH, _SPACE = re.compile(r"[.!?。]+\s+|\n+"), re.compile(r"(?:\r?\n[ \t]*){2,}"), re.compile(r"\s+")
+_SENTENCE, _PARAGRAPH, _SPACE = re.compile(r"[.!?。]+(?:\s+|\Z)|\n+"), re.compile(r"(?:\r?\n[ \t]*){2,}"), re.compile(r"\s+")
 MEASURES = ("phrase_share", "sentence_share", "paragraph_share")
 STRATA = ("en", "de", "fr", "es")
 
