@@ -10,17 +10,19 @@ Folders below the state's path:
   the first if the run that wrote it is committed, else the second. So a run that dies after any of its writes leaves a state
   that still reads as the last commit.
 - ``changes/run=r/bucket=b``: keys that are new or changed in run r. Only those of committed runs count.
-- ``commits/run=r``: the fingerprints; written last. Its ``_SUCCESS`` file is the commit.
+- ``commits/run=r.json``: the fingerprints; written last, under another name that is then changed. That renaming is the commit.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from corpusrank.shared import delete_path, materialise
+from corpusrank.shared import materialise
 
 
 class Interrupted(Exception):
@@ -42,18 +44,34 @@ class IncrementalState:
 
     def committed(self) -> list[int]:
         """Numbers of the committed runs, ascending."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(root)]
-        return sorted(int(name[4:]) for name, p in found if name.startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        fs, root = self._at("commits")
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[4:-5]) for n in names if n.startswith("run=") and n.endswith(".json"))
+
+    def _at(self, name: str):
+        """The file system and path of a file or folder of the state."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _commit(self, number: int, prints: dict[int, tuple[int, str]]) -> None:
+        fs, draft = self._at(f"commits/draft-{number}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps([[b, n, d] for b, (n, d) in prints.items()]), "ascii"))
+        out.close()
+        if not fs.rename(draft, self._at(f"commits/run={number}.json")[1]):
+            raise OSError(f"run {number} could not be committed")
+
+    def _prints(self, number: int) -> dict[int, tuple[int, str]]:
+        """The fingerprints of a committed run, a row a bucket."""
+        fs, path = self._at(f"commits/run={number}.json")
+        stream = fs.open(path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return {b: (n, d) for b, n, d in json.loads(text)}
 
     def _exists(self, folder: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, path = self._at(folder)
+        return fs.exists(path)
 
     def changes(self) -> DataFrame:
         """(run, key, *fields) of all committed runs."""
@@ -79,28 +97,29 @@ class IncrementalState:
         if number in done:
             return []
         now = self.fingerprints(source)
-        last = {r["bucket"]: (r["n"], r["digest"]) for r in self.spark.read.parquet(f"{self.path}/commits/run={done[-1]}").collect()} if done else {}
+        last = self._prints(done[-1]) if done else {}
         prints = {r["bucket"]: (r["n"], r["digest"]) for r in now.collect()}  # a row a bucket
         changed = sorted(b for b in {*last, *prints} if last.get(b) != prints.get(b))
+        tasks = min(self.buckets, max(1, self.spark.sparkContext.defaultParallelism))
         if changed:
             staged = self._staged(number, source, changed, done)
             new = staged.where(F.col("fields").isNotNull() & (~F.col("fields").eqNullSafe(F.col("base"))))
-            new.select(F.lit(number).alias("run"), "bucket", self.key, "fields.*").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "bucket").parquet(f"{self.path}/changes")
+            new.select(F.lit(number).alias("run"), "bucket", self.key, "fields.*").repartition(tasks, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "bucket").parquet(f"{self.path}/changes")
             if die_after == "changes":
                 raise Interrupted
-            staged.select(self.key, "fields", "base", "written_by", "bucket").repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/state")
+            staged.select(self.key, "fields", "base", "written_by", "bucket").repartition(tasks, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/state")
         if die_after:
             raise Interrupted
-        rows = [(b, n, d) for b, (n, d) in prints.items()]
-        delete_path(self.spark, f"{self.path}/commits/run={number}")
-        self.spark.createDataFrame(rows, "bucket int, n long, digest string").coalesce(1).write.parquet(f"{self.path}/commits/run={number}")
+        self._commit(number, prints)
         return changed
 
     def _staged(self, number: int, source: DataFrame, changed: list[int], done: list[int]) -> DataFrame:
         rows = self._bucketed(source).where(F.col("bucket").isin(changed))
         newest = rows.groupBy("bucket", self.key).agg(F.max(F.struct(F.struct(*self.order).alias("at"), F.struct(*self.fields).alias("fields"))).alias("x")).select("bucket", self.key, F.col("x.fields").alias("fields"))
+        kind = StructType([source.schema[f] for f in self.fields])
         if self._exists("state"):
-            old = self.spark.read.parquet(f"{self.path}/state").where(F.col("bucket").isin(changed))
+            schema = StructType([source.schema[self.key], StructField("fields", kind), StructField("base", kind), StructField("written_by", IntegerType()), StructField("bucket", IntegerType())])
+            old = self.spark.read.schema(schema).parquet(f"{self.path}/state").where(F.col("bucket").isin(changed))
             known = F.when(F.col("written_by").isin(done), F.col("fields")).otherwise(F.col("base"))
             old = old.select(F.col("bucket").cast("int").alias("bucket"), self.key, known.alias("base")).where("base is not null")
             newest = newest.join(old, ["bucket", self.key], "full")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrank.functions import text as t
-from corpusrank.shared import materialise
+from corpusrank.shared import materialise, spread
 
 # What the ranking function uses. Effective column weights, then those documented for the same columns.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -34,7 +34,7 @@ def index_documents(docs: DataFrame, keep: bool = True) -> LexicalIndex:
 
     Tokens are counted per document inside arrays, so building needs no shuffle of positions; only document frequencies are shuffled.
     """
-    tokens = docs.select(
+    tokens = spread(docs.select("path", "title", "content")).select(
         F.col("path").alias("key"),
         t.index_terms(t.search_title(F.col("title"), F.col("path"))).alias("title"),
         t.index_terms(t.heading_lines(F.col("content"))).alias("headings"),
@@ -120,7 +120,7 @@ def substring_scores(docs: DataFrame, queries: DataFrame, limit: int | None = 50
     shuffle of texts.
     """
     asked = queries.select("query_id", t.query_phrase(F.col("query")).alias("phrase"), F.when(F.size(t.query_tokens(F.col("query"))) > 0, t.query_tokens(F.col("query"))).otherwise(F.array(F.lower(F.trim("query")))).alias("words"))
-    low = docs.select(
+    low = spread(docs.select("path", "title", "content", "kind")).select(
         F.col("path").alias("key"),
         F.lower(t.file_stem(F.col("path"))).alias("stem"),
         F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), t.file_name(F.col("path")))).alias("head"),

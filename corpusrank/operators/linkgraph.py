@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrank.functions import text as t
+from corpusrank.shared import spread
 
 # Signal weights, edge limits and pruning of the two graphs.
 DIRECT_LINK, SHARED_SOURCE, COMMON_NEIGHBOUR, SAME_TYPE = 3.0, 4.0, 1.5, 1.0
@@ -105,7 +106,7 @@ def scanned_mentions(docs: DataFrame, naming: Naming = Naming()) -> DataFrame:
     words = r"(?U)\w+|\W+"
     forms = form_table(docs, naming).withColumn("n", F.size(F.regexp_extract_all("form", F.lit(r"(?U)\w+"), 0))).where(F.col("form").rlike(r"(?U)^\w(.*\w)?$"))
     lengths = sorted(r["n"] for r in forms.select("n").distinct().collect())  # numbers of words in a name
-    pieces = docs.select(F.col("path").alias("key"), F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(words), 0).alias("w"))
+    pieces = spread(docs.select("path", "content")).select(F.col("path").alias("key"), F.regexp_extract_all(F.lower(F.coalesce("content", F.lit(""))), F.lit(words), 0).alias("w"))
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda i: F.get("w", i).rlike(r"(?U)^\w"))
     placed = pieces.select("key", "w", F.explode(at).alias("at"))
     runs = F.array(*(F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", F.col("at") + 1, 2 * n - 1), "").alias("form")) for n in lengths)) if lengths else F.array().cast("array<struct<n:int,form:string>>")

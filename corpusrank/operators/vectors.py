@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusrank.operators.lexical import top
+from corpusrank.shared import spread
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,7 +31,7 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = 30) -> DataFr
     each partition are shuffled. Texts are not read; join them to the winners. Ties go to the smaller (page_id, chunk_index). Null
     vectors take no part; zero vectors score 0.
     """
-    c = chunks.where("vector is not null").select("page_id", "chunk_index", F.size("vector").alias("dims"), normalised(F.col("vector")).alias("v"))
+    c = spread(chunks.where("vector is not null").select("page_id", "chunk_index", "vector")).select("page_id", "chunk_index", F.size("vector").alias("dims"), normalised(F.col("vector")).alias("v"))
     q = queries.where("vector is not null").select("query_id", F.size("vector").alias("dims"), normalised(F.col("vector")).alias("q"))
     scored = c.join(q, "dims").select("query_id", "page_id", "chunk_index", dot(F.col("v"), F.col("q")).alias("score"))
     return top(scored, "query_id", [F.desc(F.round("score", 12)), F.col("page_id"), F.col("chunk_index")], k)

@@ -60,3 +60,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session, at least ``least``."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy a row; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
