@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusrank.llm.arrays import batches
+from corpusrank.shared import spread
 
 MARKUPS = ("html", "markdown", "wiki", "latex")
 #: Labelled records the classifier is fitted on, at most. A larger sample does not change ten weights noticeably.
@@ -59,6 +60,15 @@ _MD = {
     "link": re.compile(r"(!?)(?<!\[)\[([^\[\]\n]*)\]\((?:<[^<>\n]*>|[^()\s]+)(?:\s+(?:\"[^\"\n]*\"|'[^'\n]*'))?\)"),
     "table": re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$", re.M),
 }
+_UNDER = re.compile(r"\n {0,3}(?:---|===)")
+#: Cheap signs without which a pattern cannot match.
+_HINTS = {
+    "heading": lambda s: "#" in s,
+    "underlined": lambda s: _UNDER.search(s),
+    "strong": lambda s: "**" in s or "__" in s,
+    "link": lambda s: "](" in s,
+    "table": lambda s: "|" in s and "--" in s,
+}
 _WIKI = {
     "heading": re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*\r?$", re.M),
     "marks": re.compile(r"'''"),
@@ -168,7 +178,7 @@ def parse(text: str | None) -> Parsed:
         marks.add("latex")
     if "<" in text and (_TAG.search(text) or _COMMENT.search(text)) or "&" in text and _REFERENCE.search(text):
         marks.add("html")
-    if any(p.search(text) for p in _MD.values()):
+    if any(hint(text) and _MD[name].search(text) for name, hint in _HINTS.items()):
         marks.add("markdown")
     if any(p.search(text) for p in _WIKI.values()):
         marks.add("wiki")
@@ -239,7 +249,7 @@ def _split(chunk: str, tags: tuple[str, ...], parent: int, linked: int, keep: _K
     if "&" in chunk:
         chunk = html.unescape(chunk)
     chunk = chunk.replace("\r\n", "\n").replace("\xa0", " ")
-    if "=" in chunk:
+    if "=" in chunk and _WIKI["heading"].search(chunk):
         chunk = _WIKI["heading"].sub(lambda m: f"\n\n{'#' * len(m[1])} {m[2]}\n\n", chunk)
     if "{|" in chunk:
         chunk = re.sub(r"^[ \t:]*\{\|[^\n]*\n(.*?)(?:^\s*\|\}|\Z)", lambda m: "\n\n" + _wiki_rows(m[1]) + "\n\n", chunk, flags=re.S | re.M)
@@ -261,11 +271,14 @@ def _split(chunk: str, tags: tuple[str, ...], parent: int, linked: int, keep: _K
         chunk = _GONE.sub("", chunk)
         chunk = _COMMAND.sub("", chunk)
         chunk = re.sub(r"\\([%&_#${}])", r"\1", chunk)
-    linked += sum(len(m[2]) for m in _MD["link"].finditer(chunk))
-    chunk = _MD["link"].sub(r"\2", chunk)
-    chunk = _MD["underlined"].sub(lambda m: f"\n\n{'#' if m[2][0] == '=' else '##'} {m[1]}\n\n", chunk)
-    chunk = _MD["strong"].sub(lambda m: m[1] or m[2], chunk)
-    if "|" in chunk:
+    if _HINTS["link"](chunk):
+        linked += sum(len(m[2]) for m in _MD["link"].finditer(chunk))
+        chunk = _MD["link"].sub(r"\2", chunk)
+    if _HINTS["underlined"](chunk):
+        chunk = _MD["underlined"].sub(lambda m: f"\n\n{'#' if m[2][0] == '=' else '##'} {m[1]}\n\n", chunk)
+    if _HINTS["strong"](chunk):
+        chunk = _MD["strong"].sub(lambda m: m[1] or m[2], chunk)
+    if _HINTS["table"](chunk):
         chunk = _MD["table"].sub("", chunk)
     parts = [p.strip("\n") for p in re.split(r"\n[ \t]*\n+", chunk) if p.strip()]
     for part in parts:
@@ -330,7 +343,7 @@ def features(block: Block, place: float) -> list[float]:
         float(block.kind in ("code", "formula", "heading", "table")),
         float(place < 0.05),
         float(place > 0.95),
-        sum(w[:1].isupper() for w in words) / max(1, n),
+        sum([w[0].isupper() for w in words]) / max(1, n),
     ]
 
 
@@ -470,4 +483,4 @@ def clean_markup(records: DataFrame, key: str, text: str, weights: tuple[float,
             texts, marks, n, dropped = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string()), pa.array(marks, pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], ["key", "clean", "markups", "n_blocks", "n_dropped"])
 
-    return records.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, clean string, markups array<string>, n_blocks long, n_dropped long")
+    return spread(records.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(run, f"key {kind}, clean string, markups array<string>, n_blocks long, n_dropped long")
