@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpusrank.llm.arrays import WordHashes, batches, binary, flat_binary, mix, word_shingles
 from corpusrank.operators.graphs import connected_components
-from corpusrank.shared import materialise, partitions
+from corpusrank.shared import materialise, partitions, spread
 
 _ORDER_BITS, _BLOCK_BITS = 24, 16
 _U = np.uint64
@@ -375,7 +375,7 @@ def near_duplicates(records: DataFrame, key: str, text: str, shingle_words: int
     """
     t = Fraction(threshold).limit_denominator(1000)
     least = max(least_words, shingle_words)
-    records = records.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
+    records = spread(records.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")))
     members = record_classes(records, shingle_words, least)
     links = materialise(candidate_links(records, shingle_words, least, t), "links")
     return members, verified_links(records, links, shingle_words, least, t)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusrank.llm.arrays import WORD, batches
+from corpusrank.shared import spread
 
 _SENTENCE, _PARAGRAPH, _SPACE = re.compile(r"[.!?。]+(?:\s+|\Z)|\n+"), re.compile(r"(?:\r?\n[ \t]*){2,}"), re.compile(r"\s+")
 MEASURES = ("phrase_share", "sentence_share", "paragraph_share")
@@ -56,7 +57,7 @@ def measured(docs: DataFrame, key: str, text: str, stratum: str, words: int = 5,
 
     name = F.lower(F.trim(F.col(stratum)))
     kept = docs.select(F.col(key).alias("key"), F.when(name.isin(*strata), name).otherwise("other").alias("stratum"), F.col(text).cast("string").alias("text"))
-    return kept.mapInArrow(run, f"key {kind}, stratum string, n_words long, n_sequences long, n_distinct long, phrase_share double, sentence_share double, paragraph_share double")
+    return spread(kept).mapInArrow(run, f"key {kind}, stratum string, n_words long, n_sequences long, n_distinct long, phrase_share double, sentence_share double, paragraph_share double")
 
 
 def upper_bound(failures: int, n: int, level: float) -> float:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusrank.llm.arrays import batches
 from corpusrank.operators.skew import join_statistics
-from corpusrank.shared import materialise
+from corpusrank.shared import materialise, spread
 
 _LETTERS = regex.compile(r"\p{L}+")
 _INVISIBLE = {0xAD: None, 0x200B: None}
@@ -147,7 +147,7 @@ def term_frequencies(docs: DataFrame, texts: list[str], rare_most: int = 2, comm
     takes no larger task than others.
     """
     n = docs.count()
-    kept = docs.select(F.monotonically_increasing_id().alias("record"), *(F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(texts)))
+    kept = spread(docs.select(*(F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(texts)))).withColumn("record", F.monotonically_increasing_id())
     parts = kept.mapInArrow(_bitmaps([f"t{i}" for i in range(len(texts))]), "term string, chunk long, bits binary, occurrences long")
     parts = parts.repartition("term", "chunk").sortWithinPartitions("term", "chunk").mapInArrow(_merged, "term string, records long, occurrences long")
     out = parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
@@ -223,7 +223,7 @@ def characteristic_terms(docs: DataFrame, key: str, texts: list[str], least_tf:
     repeated keys are records of their own; an empty table gives no rows. Other columns are ignored.
     """
     names = [f"t{i}" for i in range(len(texts))]
-    kept = docs.select(F.col(key).cast("string").alias("doc"), *(F.col(x).cast("string").alias(a) for x, a in zip(texts, names, strict=True)))
+    kept = spread(docs.select(F.col(key).cast("string").alias("doc"), *(F.col(x).cast("string").alias(a) for x, a in zip(texts, names, strict=True))))
     stats = kept.select(*names).mapInArrow(_counts(names), "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     postings = kept.mapInArrow(_postings(names, least_tf), "doc string, term string, tf long, length long")
     return _scored(postings, stats, docs.count(), c)

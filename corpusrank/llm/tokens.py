@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusrank.llm.arrays import batches
+from corpusrank.shared import spread
 
 #: Folder of the vocabularies' Python module, and the vocabulary.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -44,4 +45,4 @@ def token_sizes(docs: DataFrame, text: str, keep: list[str], folder: str = TOKEN
             sizes = [len(encode(s)) if s else 0 for s in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(sizes, pa.int64())], [*keep, "n_tokens"])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, ddl)
+    return spread(docs.select(*keep, F.col(text).cast("string").alias("_text"))).mapInArrow(run, ddl)
