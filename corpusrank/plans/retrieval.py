@@ -115,11 +115,11 @@ _PLAIN = f"NOT regexp_matches(coalesce(query, ''), '{t.CJK}')"
 
 @query
 def l1_query_tokens(spark, d):
-    return log_of(spark, d).select(F.col("id").alias("query_id"), t.query_tokens(F.col("query")).alias("tokens"))
+    return log_of(spark, d).select(F.col("id").alias("query_id"), F.array_join(t.query_tokens(F.col("query")), "|").alias("tokens"))
 
 
 SQL["l1_query_tokens"] = f"""WITH asked AS (SELECT DISTINCT ON (id) id AS query_id, query FROM query_log), {_QTOKENS}
-SELECT a.query_id, coalesce(list_sort(list(c.token) FILTER (c.token IS NOT NULL)), []) AS tokens FROM asked a LEFT JOIN capped c USING (query_id) GROUP BY a.query_id"""
+SELECT a.query_id, coalesce(array_to_string(list_sort(list(c.token) FILTER (c.token IS NOT NULL)), '|'), '') AS tokens FROM asked a LEFT JOIN capped c USING (query_id) GROUP BY a.query_id"""
 
 
 @query
@@ -132,10 +132,10 @@ SQL["l2_query_phrases"] = f"SELECT DISTINCT ON (id) id AS query_id, regexp_repla
 
 @query
 def l3_query_units(spark, d):
-    return lexical.query_units(log_of(spark, d).select(F.col("id").alias("query_id"), "query")).select("query_id", "token", "unit")
+    return lexical.query_units(log_of(spark, d).select(F.col("id").alias("query_id"), "query")).select("query_id", "token", F.array_join("unit", "|").alias("unit"))
 
 
-SQL["l3_query_units"] = f"WITH asked AS (SELECT DISTINCT ON (id) id AS query_id, query FROM query_log), {_QTOKENS} SELECT query_id, token, {_TERMS.format('token')} AS unit FROM tokens WHERE len({_TERMS.format('token')}) > 0"
+SQL["l3_query_units"] = f"WITH asked AS (SELECT DISTINCT ON (id) id AS query_id, query FROM query_log), {_QTOKENS} SELECT query_id, token, array_to_string({_TERMS.format('token')}, '|') AS unit FROM tokens WHERE len({_TERMS.format('token')}) > 0"
 
 
 @query
@@ -264,7 +264,7 @@ def v1_normalised(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm"), F.round(vectors.norm(vectors.normalised(F.col("embedding"))), 6).alias("unit"))
 
 
-SQL["v1_normalised"] = "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm, CASE WHEN list_max(list_transform(embedding, lambda x: abs(x))) > 0 THEN 1.0 ELSE 0.0 END AS unit FROM embeddings"
+SQL["v1_normalised"] = "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm, CASE WHEN list_max(list_transform(embedding, lambda x: abs(x))) > 0 THEN CAST(1.0 AS DOUBLE) ELSE 0.0 END AS unit FROM embeddings"
 
 
 @query
@@ -280,10 +280,10 @@ paged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 
 @query
 def v4_pages(spark, d):
-    return vectors.pages_of(vectors.nearest_chunks(chunks_of(spark, d), asked_of(spark, d), 30), 10).select("query_id", "page_id", *six("score"), "chunks", "rank")
+    return vectors.pages_of(vectors.nearest_chunks(chunks_of(spark, d), asked_of(spark, d), 30), 10).select("query_id", "page_id", *six("score"), F.array_join(F.col("chunks").cast("array<string>"), "|").alias("chunks"), "rank")
 
 
-SQL["v4_pages"] = f"WITH {_NEAR}, {_PAGES.format(deep=30)} SELECT query_id, page_id, round(score, 6) AS score, chunks, prank AS rank FROM paged WHERE prank <= 10"
+SQL["v4_pages"] = f"WITH {_NEAR}, {_PAGES.format(deep=30)} SELECT query_id, page_id, round(score, 6) AS score, array_to_string(chunks, '|') AS chunks, prank AS rank FROM paged WHERE prank <= 10"
 
 
 @query
@@ -630,12 +630,12 @@ def f8_provenance(spark, d):
     docs = docs_of(spark, d)
     ranked = diffusion.ranked_by_mass(mass, fused, docs.select(F.col("path").alias("key")), 50)
     loose = ranked.join(fused.select("query_id", "key"), ["query_id", "key"], "left_anti")
-    return fusion.seeds_reached(loose, _merged(spark, d), fused.where("rank <= 10"), docs)
+    return fusion.seeds_reached(loose, _merged(spark, d), fused.where("rank <= 10"), docs).select("query_id", "key", F.array_join("related", "|").alias("related"))
 
 
 SQL["f8_provenance"] = f"""WITH {_RANKED}, loose AS (SELECT query_id, key FROM ranked WHERE rank <= 50 AND frank IS NULL),
 hops AS (SELECT query_id, key, dst AS mid FROM loose JOIN merged ON src = key), ends AS (SELECT query_id, key, mid AS node FROM hops UNION SELECT h.query_id, h.key, m.dst FROM hops h JOIN merged m ON m.src = h.mid WHERE h.mid NOT IN (SELECT path FROM wiki_docs))
-SELECT e.query_id, e.key, list_sort(list_distinct(list(d.title))) AS related FROM ends e JOIN fused f ON f.query_id = e.query_id AND f.key = e.node AND f.frank <= 10 JOIN wiki_docs d ON d.path = e.node GROUP BY ALL"""
+SELECT e.query_id, e.key, array_to_string(list_sort(list_distinct(list(d.title))), '|') AS related FROM ends e JOIN fused f ON f.query_id = e.query_id AND f.key = e.node AND f.frank <= 10 JOIN wiki_docs d ON d.path = e.node GROUP BY ALL"""
 
 
 _LADDER = f"""{_CAL_AS}, {_FENCE}, {_LANES.replace(_INDEX + ",", "")}, {_SUBSTRING},
@@ -654,12 +654,12 @@ ranked AS (SELECT query_id, key, score, frank, rank FROM placed WHERE rank <= 10
 @query
 def f11_search(spark, d):
     """The whole ladder, with mentions as stored."""
-    return _search(spark, d).results.select("query_id", "path", "rank", *six("score"), "kind", "title_match", F.round("vector_score", 6).alias("vector_score"), "related")
+    return _search(spark, d).results.select("query_id", "path", "rank", *six("score"), "kind", "title_match", F.round("vector_score", 6).alias("vector_score"), F.array_join("related", "|").alias("related"))
 
 
 SQL["f11_search"] = f"""WITH {_LADDER}, hops AS (SELECT query_id, key, dst AS mid FROM ranked JOIN merged ON src = key WHERE frank IS NULL), ends AS (SELECT query_id, key, mid AS node FROM hops UNION SELECT h.query_id, h.key, m.dst FROM hops h JOIN merged m ON m.src = h.mid WHERE h.mid NOT IN (SELECT path FROM wiki_docs)),
 behind AS (SELECT e.query_id, e.key, list_sort(list_distinct(list(d.title))) AS related FROM ends e JOIN fused f ON f.query_id = e.query_id AND f.key = e.node AND f.frank <= 10 JOIN wiki_docs d ON d.path = e.node GROUP BY ALL)
-SELECT r.query_id, r.key AS path, r.rank, round(r.score, 6) AS score, l.kind, (p <> '' AND contains(head, p)) OR len(list_filter(w, lambda x: contains(head, x))) > 0 AS title_match, round(v.score, 6) AS vector_score, coalesce(related, []) AS related
+SELECT r.query_id, r.key AS path, r.rank, round(r.score, 6) AS score, l.kind, (p <> '' AND contains(head, p)) OR len(list_filter(w, lambda x: contains(head, x))) > 0 AS title_match, round(v.score, 6) AS vector_score, coalesce(array_to_string(related, '|'), '') AS related
 FROM ranked r JOIN low l USING (key) JOIN phrases USING (query_id) JOIN words USING (query_id) LEFT JOIN (SELECT * FROM paged WHERE prank <= 20) v ON v.query_id = r.query_id AND v.page_id = r.key LEFT JOIN behind b ON b.query_id = r.query_id AND b.key = r.key"""
 
 
@@ -729,10 +729,10 @@ def b4_citations(spark, d):
     """Answers that cite what the log says was cited, read back."""
     log = log_of(spark, d).where("cited is not null")
     said = log.select(F.col("id").alias("query_id"), F.concat(F.lit("So it is "), F.array_join(F.transform("cited", lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"))), " ")).alias("answer"))
-    return said.select("query_id", context.cited_numbers(F.col("answer")).alias("numbers"))
+    return said.select("query_id", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), "|").alias("numbers"))
 
 
-SQL["b4_citations"] = "SELECT DISTINCT ON (id) id AS query_id, range(1, len(cited) + 1) AS numbers FROM query_log WHERE cited IS NOT NULL"
+SQL["b4_citations"] = "SELECT DISTINCT ON (id) id AS query_id, array_to_string(range(1, len(cited) + 1), '|') AS numbers FROM query_log WHERE cited IS NOT NULL"
 
 
 @query
