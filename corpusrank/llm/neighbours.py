@@ -119,14 +119,15 @@ def _cosines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "cosine"])
 
 
-def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int = 5, least: float = 0.85, trees: int = TREES, steps: int = STEPS) -> DataFrame:
+def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int = 5, least: float = 0.85, trees: int = TREES, steps: int = STEPS, ranges: int | None = None) -> DataFrame:
     """(probe_kind, probe_id, neighbour_id, cosine): for each probe the ``k`` items of greatest cosine, of at least ``least``.
 
     Every row of ``items(id, vector)`` is a probe of kind 'item' and not its own neighbour; ``probes(kind, id, vector)`` are
     asked besides. Vectors only meet vectors of equally many numbers. Unusable vectors (see ``usable``) and null ids take no
     part. Ties of cosine go to the smaller id; rows that repeat (kind, id) count once. Approximate: a neighbour may be missing, none is wrong
     (a pair as near as ``least`` survives the comparison of strings with probability 0.9997, nearer ones more surely). Equal
-    vectors always find each other. Empty inputs give no rows. Other columns are ignored.
+    vectors always find each other. Empty inputs give no rows. Other columns are ignored. ``ranges``: into how many ranges the
+    forest's arrays are cut, if not as many as the session's shuffle partitions.
     """
     cls = F.xxhash64(F.size("vector"), F.col("vector"))
 
@@ -141,7 +142,9 @@ def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int =
     angle = math.acos(least) / math.pi
     far = round(BITS * angle + 3.4 * math.sqrt(BITS * angle * (1 - angle)))
     schema = "meta long, key long, cls long, " + ", ".join(f"s{w} long" for w in range(WORDS))
-    forest = pool.select("cls", asked, "vector").mapInArrow(_tree_rows(trees), schema).repartitionByRange("meta", "key", "cls")
+    place = F.shiftright("meta", 1), F.col("key"), F.col("cls")  # without the kind: probes lie among the items
+    forest = pool.select("cls", asked, "vector").mapInArrow(_tree_rows(trees), schema)
+    forest = forest.repartitionByRange(ranges, *place) if ranges else forest.repartitionByRange(*place)
     pairs = forest.mapInArrow(_walk(steps, far), "a long, b long").distinct()
     vectors = pool.groupBy("cls").agg(F.first("vector").alias("v"))
     close = (

@@ -75,20 +75,33 @@ def _chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").where(F.col("dims").isin(64, 96) & (F.size("vector") == F.col("dims"))).select("id", "vector")
 
 
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "query_log").where(F.size("query_vector").isin(64, 96)).select(F.lit("query").alias("kind"), "id", F.col("query_vector").alias("vector"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "query_log").where(F.size("query_vector").isin(64, 96)).select(F.lit("query").alias("kind"), "id", F.col("query_vector").alias("vector"))
-    found = neighbours.similar_vectors(_chunk_vectors(spark, d), asked)
+    found = neighbours.similar_vectors(_chunk_vectors(spark, d), _asked_vectors(spark, d))
     return found.select(F.when(F.col("probe_kind") == "item", "chunk").otherwise(F.col("probe_kind")).alias("probe_kind"), "probe_id", "neighbour_id")
 
 
+#: Ranges of the forest in p6_recall: several a tree, as a large collection has them.
+_RECALL_RANGES = 100
+
+
 def p6_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Of the true neighbours of every chunk whose id is divisible by 20, by brute force over all chunks: how many the forest finds."""
-    vectors = _chunk_vectors(spark, d)
-    found = neighbours.similar_vectors(vectors).select("probe_id", "neighbour_id")
-    true = materialise(neighbours.exact_neighbours(vectors, vectors.where(F.col("id") % 20 == 0)).select("probe_id", "neighbour_id"), "true")
-    hit = true.join(found, ["probe_id", "neighbour_id"]).agg(F.count(F.lit(1)).alias("n_found"))
-    out = true.agg(F.count(F.lit(1)).alias("n_true")).crossJoin(hit)  # one row each
-    return out.select("n_true", "n_found", F.when(F.col("n_true") > 0, F.round(F.col("n_found") / F.col("n_true"), 4)).otherwise(1.0).alias("recall"))
+    """Of the true neighbours, by brute force over all chunks, of every chunk whose id is divisible by 20 and of every logged query: how many the forest
+    finds when each tree spans several ranges."""
+    vectors, asked = _chunk_vectors(spark, d), _asked_vectors(spark, d)
+    found = neighbours.similar_vectors(vectors, asked, ranges=_RECALL_RANGES).select("probe_kind", "probe_id", "neighbour_id")
+    probes = vectors.where(F.col("id") % 20 == 0).select(F.lit("item").alias("kind"), "id", "vector").unionAll(asked.dropDuplicates(["id"]))
+    # one number a probe, negative for queries, so that no query is taken for the chunk of its id
+    named = probes.select(F.when(F.col("kind") == "item", F.col("id")).otherwise(-1 - F.col("id")).alias("id"), "vector")
+    true = neighbours.exact_neighbours(vectors, named)
+    kind = F.when(F.col("probe_id") < 0, "query").otherwise("item")
+    true = true.select(kind.alias("probe_kind"), F.when(F.col("probe_id") < 0, -1 - F.col("probe_id")).otherwise(F.col("probe_id")).alias("probe_id"), "neighbour_id")
+    both = materialise(true, "true").join(found.withColumn("hit", F.lit(1)), ["probe_kind", "probe_id", "neighbour_id"], "left")
+    out = both.groupBy("probe_kind").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+    return out.select(F.when(F.col("probe_kind") == "item", "chunk").otherwise("query").alias("probe_kind"), "n_true", "n_found", F.round(F.col("n_found") / F.col("n_true"), 4).alias("recall"))
 
 
 def _frequencies(spark: SparkSession, d: str) -> DataFrame:
