@@ -163,14 +163,16 @@ def _is_repetitive():
 
 
 def _holdout(measures: DataFrame, half: int) -> DataFrame:
-    return measures.where(F.pmod(F.xxhash64("key"), F.lit(2)) == half).withColumn("label", _is_repetitive())
+    """Labelled documents of one half that the rule applies to; shorter texts are neither good nor repetitive."""
+    return measures.where(F.col("n_words") >= 20).where(F.pmod(F.xxhash64("key"), F.lit(2)) == half).withColumn("label", _is_repetitive())
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     measures = materialise(_repetition(spark, d), "measures")
     cutoffs = repetition.certified_cutoffs(_holdout(measures, 0), ["phrase_share"])
-    # beyond the certified cut-off, or where none could be certified, the exact check decides
-    suspects = repetition.flagged(measures, cutoffs, ["phrase_share"]).where(F.col("flag").isNull() | F.col("flag"))
+    # beyond the certified cut-off, or where none could be certified, or from the rule's own share up where the cut-off lies above it, the exact check decides
+    open_ = F.col("flag").isNull() | F.col("flag") | (F.col("phrase_share") >= 0.3 - 1e-9)
+    suspects = repetition.flagged(measures, cutoffs, ["phrase_share"]).where(open_)
     return suspects.where(_is_repetitive()).select(F.col("key").alias("doc_id"))
 
 

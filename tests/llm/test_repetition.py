@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corpusrank.llm import repetition
+from corpusrank.llm import queries, repetition
 from pyspark.sql import functions as F
 
 SCHEMA = "id long, text string, lang string"
@@ -48,3 +48,12 @@ def test_cutoffs_hold_on_held_out_documents(spark):
 def test_nothing_is_certified_of_nothing(spark):
     m = repetition.measured(spark.createDataFrame([], SCHEMA), "id", "text", "lang").withColumn("label", F.lit(True))
     assert all(c[2] is None for c in repetition.certified_cutoffs(m))
+
+
+def test_cases_below_a_high_cutoff_are_found(spark, tmp_path):
+    rng = random.Random(5)
+    good = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)), "de") for i in range(1000)]
+    short = [(2000 + i, "note " * 19, "de") for i in range(24)]
+    real = [(3000 + i, " ".join(f"w{i}x{j}" for j in range(12)) + " " + " ".join(f"w{i}x{j}" for j in range(12)), "de") for i in range(6)]
+    spark.createDataFrame(good + short + real, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in queries.p10_found(spark, str(tmp_path)).collect()) == [r[0] for r in real]
