@@ -7,6 +7,9 @@ number of steps in every tree. The arrays are range-partitioned, so no prefix, h
 are compared by their whole strings first; only pairs whose strings are near enough are compared by their vectors.
 
 Equal vectors are one class throughout, so copies neither crowd the walk nor cost comparisons.
+
+In a dense place the walk ends while it still meets near strings, and the nearest may lie beyond it. Such probes ('dense') are
+compared with all items instead, exactly, in blocks of vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from corpusrank.shared import materialise
 BITS, WORDS = 256, 4
 #: Trees, and steps walked to either side in each. More of either finds more; see p6_recall for what these find.
 TREES, STEPS = 21, 64
+#: Probes and items in a block of the exact comparison.
+_PROBES, _ITEMS = 2048, 16384
 _SEED = 20240
 
 
@@ -72,7 +77,11 @@ def _tree_rows(trees: int):
 
 
 def _walk(steps: int, far: int):
-    """Compares each string with those up to ``steps`` places away in the tree's array: rows (a, b), a < b."""
+    """Compares each string with those up to ``steps`` places away in the tree's array: rows (a, b), a < b.
+
+    A row (a, a) says that a is dense: of the places in the last quarter of the walk, both sides together, at least an eighth held near
+    strings, so that more will lie beyond. (A single one there is chance.)
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([b for b in it if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * (3 + WORDS), ["meta", "key", "cls", *(f"s{w}" for w in range(WORDS))])])
@@ -84,16 +93,21 @@ def _walk(steps: int, far: int):
         keep = ~again
         tree, kind, cls = tree[keep], kind[keep], cls[keep]
         words = [table.column(f"s{w}").to_numpy().view(np.uint64)[order][keep] for w in range(WORDS)]
-        found = []
+        found, last = [], np.zeros(len(cls), dtype=np.int32)
         for step in range(1, min(steps, len(cls) - 1) + 1):
             apart = np.zeros(len(cls) - step, dtype=np.uint16)
             for w in words:
                 apart += np.bitwise_count(w[:-step] ^ w[step:])
             i = np.flatnonzero(apart <= far)
             i = i[(tree[i] == tree[i + step]) & ((kind[i] & kind[i + step]) == 0)]
+            if step > steps - steps // 4:
+                last[i] += 1
+                last[i + step] += 1
             a, b = cls[i], cls[i + step]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        ab = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        dense = cls[last >= max(1, steps // 4 * 2 // 8)]
+        found.append(np.stack([dense, dense], axis=1))
+        ab = np.concatenate(found)
         ab = ab[np.lexsort((ab[:, 1], ab[:, 0]))]
         if len(ab):
             ab = ab[np.r_[True, (ab[1:] != ab[:-1]).any(axis=1)]]
@@ -126,7 +140,8 @@ def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int =
     asked besides. Vectors only meet vectors of equally many numbers. Unusable vectors (see ``usable``) and null ids take no
     part. Ties of cosine go to the smaller id; rows that repeat (kind, id) count once. Approximate: a neighbour may be missing, none is wrong
     (a pair as near as ``least`` survives the comparison of strings with probability 0.9997, nearer ones more surely). Equal
-    vectors always find each other. Empty inputs give no rows. Other columns are ignored. ``ranges``: into how many ranges the
+    vectors always find each other, and probes in dense places get their exact neighbours, at a cost of dense probes x items. Cosines
+    equal to 9 digits are ties. Empty inputs give no rows. Other columns are ignored. ``ranges``: into how many ranges the
     forest's arrays are cut, if not as many as the session's shuffle partitions.
     """
     cls = F.xxhash64(F.size("vector"), F.col("vector"))
@@ -145,8 +160,9 @@ def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int =
     place = F.shiftright("meta", 1), F.col("key"), F.col("cls")  # without the kind: probes lie among the items
     forest = pool.select("cls", asked, "vector").mapInArrow(_tree_rows(trees), schema)
     forest = forest.repartitionByRange(ranges, *place) if ranges else forest.repartitionByRange(*place)
-    pairs = forest.mapInArrow(_walk(steps, far), "a long, b long").distinct()
-    vectors = pool.groupBy("cls").agg(F.first("vector").alias("v"))
+    pairs = materialise(forest.mapInArrow(_walk(steps, far), "a long, b long").distinct(), "pairs")
+    dense, pairs = pairs.where("a = b").select(F.col("a").alias("cls")), pairs.where("a <> b")
+    vectors = pool.groupBy("cls").agg(F.first("vector").alias("v"), F.min(F.when(F.col("kind") == "item", F.col("id"))).alias("low"))
     close = (
         pairs.join(vectors.select(F.col("cls").alias("a"), F.col("v").alias("va")), "a")
         .join(vectors.select(F.col("cls").alias("b"), F.col("v").alias("vb")), "b")
@@ -155,19 +171,74 @@ def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int =
     )
     close = materialise(close, "close")
     both = close.select(F.col("a").alias("p"), F.col("b").alias("q"), "cosine").unionAll(close.select("b", "a", "cosine"))
+    asking = vectors.join(dense, "cls").select("cls", F.col("v").alias("vector"))
+    asking = materialise(asking, "dense")
+    if n_dense := asking.count():
+        items_of = materialise(vectors.where("low is not null").select("cls", "low", F.col("v").alias("vector")), "dense_items")
+        exact = _in_blocks(asking, items_of, n_dense, items_of.count(), k + 1, least)
+        both = both.join(dense, both["p"] == dense["cls"], "left_anti").unionAll(exact)
     members = materialise(pool.select("kind", "id", "cls").distinct(), "classes")
     # of each class the k + 1 least ids, as a probe may be one of them
     smallest = members.where("kind = 'item'").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id")))
     smallest = smallest.where(F.col("r") <= k + 1).select(F.col("cls").alias("q"), F.col("id").alias("n"))
     same = smallest.select(F.col("q").alias("p"), F.lit(1.0).alias("cosine"), "n")
     best = both.join(smallest, "q").select("p", "cosine", "n").unionAll(same)
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("cosine"), "n"))).where(F.col("r") <= k + 1)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc(F.round("cosine", 9)), "n"))).where(F.col("r") <= k + 1)
     lists = best.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("r", "n", "cosine"))).alias("near"))  # k + 1 at most
     near = F.slice(F.filter("near", lambda x: (F.col("kind") != "item") | (x["n"] != F.col("id"))), 1, k)
     found = members.join(lists, members["cls"] == lists["p"]).select(F.col("kind").alias("probe_kind"), F.col("id").alias("probe_id"), F.explode(near).alias("x"))
     return found.select("probe_kind", "probe_id", F.col("x.n").alias("neighbour_id"), F.col("x.cosine").alias("cosine"))
 
 
+def _in_blocks(probes: DataFrame, items: DataFrame, n_probes: int, n_items: int, k: int, least: float, probe_block: int = _PROBES, item_block: int = _ITEMS) -> DataFrame:
+    """(p, q, cosine) with the ``k`` nearest of ``items(cls, low, vector)`` for each of ``probes(cls, vector)``, and more: the ``k`` best of every block.
+
+    None is missing: of each block those of greatest cosine to 9 digits stay, ties to the smaller ``low``. A class is not its own neighbour. A task holds
+    one block of either side at a time.
+    """
+    pb, cb = max(1, math.ceil(n_probes / probe_block)), max(1, math.ceil(n_items / item_block))
+
+    def pack(df: DataFrame, blocks: int, name: str, *extra: str) -> DataFrame:
+        keyed = df.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias(name), F.struct("cls", *extra, "vector").alias("x"))
+        xs = keyed.groupBy("dims", name).agg(F.collect_list("x").alias("xs"))  # a block, about
+        return xs.select("dims", name, *(F.col(f"xs.{c}").alias(f"{name}_{c}") for c in ("cls", *extra)), F.flatten("xs.vector").alias(f"{name}_flat"))
+
+    # every pair of blocks is a row of its own, so that the work of one number of dims is spread over all tasks
+    asked = pack(probes, pb, "pb").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))))
+    both = asked.join(pack(items, cb, "cb", "low"), ["dims", "cb"])
+    both = both.repartition(min(pb * cb * 2, 4096), "dims", "pb", "cb")
+
+    def units(flat, dims: int) -> np.ndarray:
+        x = flat.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                dims = batch.column("dims")[i].as_py()
+                pi, ci, low = (batch.column(n)[i].values.to_numpy() for n in ("pb_cls", "cb_cls", "cb_low"))
+                x, y = (units(batch.column(n)[i], dims) for n in ("pb_flat", "cb_flat"))
+                for at in range(0, len(x), 256):
+                    ids = pi[at : at + 256]
+                    s = x[at : at + 256] @ y.T
+                    s[ids[:, None] == ci[None, :]] = -2
+                    floor = np.full(len(s), least)
+                    full = np.flatnonzero((s >= least).sum(axis=1) > k)
+                    if len(full):
+                        kth = np.partition(s[full], -k, axis=1)[:, -k]
+                        floor[full] = np.maximum(least, kth - 2e-9)  # ties to 9 digits stay in
+                    r, q = np.nonzero(s >= floor[:, None])
+                    c = s[r, q]
+                    order = np.lexsort((low[q], -np.round(c, 9), r))
+                    r, q, c = r[order], q[order], c[order]
+                    starts = np.searchsorted(r, np.arange(len(s)))
+                    keep = np.arange(len(r)) - starts[r] < k
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(ci[q[keep]]), pa.array(c[keep])], ["p", "q", "cosine"])
+
+    return both.mapInArrow(run, "p long, q long, cosine double")
+
+
 def exact_neighbours(items: DataFrame, probes: DataFrame, k: int = 5, least: float = 0.85, block: int = 4096) -> DataFrame:
     """(probe_id, neighbour_id, cosine) by comparing every probe with every item, both ``(id, vector)``, in blocks of vectors.
 

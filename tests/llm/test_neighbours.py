@@ -38,3 +38,22 @@ def test_logged_probes_meet_items_in_many_ranges(spark):
     probes = spark.createDataFrame(near, "kind string, id long, vector array<float>")
     out = neighbours.similar_vectors(items, probes, ranges=64).where("probe_kind = 'query'")
     assert out.where("probe_id = neighbour_id").count() >= 0.98 * len(near)
+
+
+def test_near_copies_that_are_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(64) + 0.2 * rng.standard_normal((2500, 64))
+    x = np.concatenate([hot, rng.standard_normal((5000, 64))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>")
+    asked = spark.createDataFrame([("query", i, [float(v) for v in hot[i] + 0.01]) for i in range(50)], "kind string, id long, vector array<float>")
+    got = {(r["probe_kind"], r["probe_id"], r["neighbour_id"]) for r in neighbours.similar_vectors(df, asked).collect()}
+    f = x.astype(np.float32).astype(np.float64)
+    u = f / np.linalg.norm(f, axis=1)[:, None]
+    s = u[:2500] @ u.T
+    s[np.arange(2500), np.arange(2500)] = -2
+    best = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :5]
+    true = {("item", i, int(j)) for i in range(2500) for j in best[i] if s[i, j] >= 0.85}
+    assert len(true) == 12500 and len(got & true) >= 0.999 * len(true)
+    a = np.stack([np.array(r["vector"]) for r in asked.orderBy("id").collect()])
+    near = np.argsort(-(a / np.linalg.norm(a, axis=1)[:, None] @ u.T), axis=1, kind="stable")[:, :5]
+    assert {("query", i, int(j)) for i in range(50) for j in near[i]} <= got
