@@ -674,15 +674,15 @@ CASE WHEN vector_hits > 0 AND lexical_hits > 0 AND NOT abstained THEN 'hybrid' W
 
 @query
 def f9_results(spark, d):
-    """Texts of the results: their titles, snippets and provenance."""
-    return _search(spark, d).results.select("query_id", "path", "title", "snippet", "related")
+    """Texts of the results: their titles, snippets and provenance. No SQL unrolls this one, so mass moves until it settles, as in production."""
+    return _search(spark, d, Options(), diffusion.TOLERANCE).results.select("query_id", "path", "title", "snippet", "related")
 
 
-def _search(spark, d) -> ladder.Found:
+def _search(spark, d, options: Options = Options(iterations=_ROUNDS), tolerance: float = 0) -> ladder.Found:
     docs = docs_of(spark, d)
     mentions = linkgraph.with_definitions(mentions_of(spark, d), docs)
     corpus = ladder.build(docs, chunks_of(spark, d), materialise(mentions, "mentions"))
-    return ladder.search(corpus, asked_of(spark, d), 10, Options(iterations=_ROUNDS), tolerance=0)
+    return ladder.search(corpus, asked_of(spark, d), 10, options, tolerance=tolerance)
 
 
 # --- B, Q, M, K: context, log, measures, checks ---------------------------------------------------------------------------

@@ -189,3 +189,22 @@ def test_cli(tmp_path, capsys):
         cli.main(["nonsense"])
     assert e.value.code == 2
     assert json.dumps(capsys.readouterr().out)
+
+
+def test_results_run_production_rounds(spark, monkeypatch):
+    from corpusrank.operators import diffusion
+    from corpusrank.plans import retrieval
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def record(seeds, transitions, alpha, rounds, tolerance):
+        asked.append((rounds, tolerance))
+        raise Stop
+
+    monkeypatch.setattr(diffusion, "pagerank", record)
+    with pytest.raises(Stop):
+        retrieval.f9_results(spark, SMALL)
+    assert asked == [(60, 1e-8)]
