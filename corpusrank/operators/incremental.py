@@ -1,28 +1,33 @@
 """Processing only new or changed records, run after run, with nothing lost or repeated when runs fail.
 
-The keys are spread over a fixed number of buckets. A bucket's fingerprint is the count and the sum of its rows' hashes;
-both are additive, so they come from one partial aggregate without moving rows. A run recomputes the buckets whose fingerprint
-differs from the one committed last, and replaces each of them by dynamic partition overwrite.
-
-Folders below the state's path:
-
-- ``state/bucket=b``: the newest version of every key, and beside it the version as of the last commit before its run. A reader takes
-  the first if the run that wrote it is committed, else the second. So a run that dies after any of its writes leaves a state
-  that still reads as the last commit.
-- ``changes/run=r/bucket=b``: keys that are new or changed in run r. Only those of committed runs count.
-- ``commits/run=r.json``: the fingerprints; written last, under another name that is then changed. That renaming is the commit.
+Keys are spread over buckets, as many as the rows ask for. A bucket's fingerprint is the count and the sum of the hashes of the rows
+offered to it; both are additive, so they come from one partial aggregate, and those of newly offered rows are added to the
+committed ones without reading anything older. A run reads and recomputes only buckets whose fingerprint differs from the
+committed one, and replaces each by dynamic partition overwrite.
+
+Folders below the state's path (an *attempt* is one try of a run, with a name of its own):
+
+- ``state/of=n/bucket=b``: of n buckets, the newest version of every key, beside it the version committed before, and the attempt that wrote
+  the bucket. The last commit names the attempt of every bucket. A reader takes the first version if the bucket was written by that attempt,
+  else the second. So an attempt that dies after any of its writes leaves a state that still reads as the last commit.
+- ``staged/<attempt>``: what an attempt is about to put into the state, kept until it is done. ``pending/<attempt>.json`` says that the replacing of
+  buckets has begun; the next run finishes it first, as a crash may have left a bucket deleted but not yet replaced.
+- ``changes/run=r/<attempt>``: keys that are new or changed. Only the attempt that the commit of run r names counts.
+- ``commits/run=r.json``: bucket count, fingerprint and attempt of each bucket; written last, under another name that is then changed. That
+  renaming is the commit.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from corpusrank.shared import materialise
+from corpusrank.shared import delete_path
 
 
 class Interrupted(Exception):
@@ -34,111 +39,192 @@ class IncrementalState:
 
     ``key`` names the key column, ``fields`` those whose change counts, ``order`` those whose greatest value (as a tuple) picks a
     key's version among its rows; rows that are equal in ``order`` are told apart by ``fields``. Rows with a null key are left out.
-    Rows that repeat add nothing; nulls in fields are values of their own; further columns are ignored.
+    Rows that repeat add nothing; nulls in fields are values of their own; further columns are ignored, whatever their names.
+
+    There is a bucket for every ``bucket_rows`` offered rows or begun part of it, rounded up to a power of two and ``most_buckets`` at most (they
+    then grow instead, and are written in several files). When four times as many rows came, the state is laid out anew, once.
+    A state must not be run by two processes at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, fields: Sequence[str], order: Sequence[str], buckets: int = 32):
-        self.spark, self.path, self.key, self.fields, self.order, self.buckets = spark, path, key, list(fields), list(order), buckets
+    def __init__(self, spark: SparkSession, path: str, key: str, fields: Sequence[str], order: Sequence[str], bucket_rows: int = 25_000, most_buckets: int = 1 << 14):
+        self.spark, self.path, self.key, self.fields, self.order = spark, path, key, list(fields), list(order)
+        self.bucket_rows, self.most_buckets = bucket_rows, most_buckets
 
-    # --- what is committed ---
-
-    def committed(self) -> list[int]:
-        """Numbers of the committed runs, ascending."""
-        fs, root = self._at("commits")
-        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(n[4:-5]) for n in names if n.startswith("run=") and n.endswith(".json"))
+    # --- files ---
 
     def _at(self, name: str):
         """The file system and path of a file or folder of the state."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _commit(self, number: int, prints: dict[int, tuple[int, str]]) -> None:
-        fs, draft = self._at(f"commits/draft-{number}")
+    def _names(self, folder: str) -> list[str]:
+        fs, root = self._at(folder)
+        return [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _save(self, name: str, content: dict) -> None:
+        """Writes a small file so that it is there wholly or not at all."""
+        fs, draft = self._at(f"drafts/{uuid.uuid4().hex}")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps([[b, n, d] for b, (n, d) in prints.items()]), "ascii"))
+        out.write(bytearray(json.dumps(content), "ascii"))
         out.close()
-        if not fs.rename(draft, self._at(f"commits/run={number}.json")[1]):
-            raise OSError(f"run {number} could not be committed")
+        target = self._at(name)[1]
+        fs.mkdirs(target.getParent())
+        if not fs.rename(draft, target):
+            raise OSError(f"{name} could not be written")
 
-    def _prints(self, number: int) -> dict[int, tuple[int, str]]:
-        """The fingerprints of a committed run, a row a bucket."""
-        fs, path = self._at(f"commits/run={number}.json")
+    def _load(self, name: str) -> dict:
+        fs, path = self._at(name)
         stream = fs.open(path)
         text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         stream.close()
-        return {b: (n, d) for b, n, d in json.loads(text)}
+        return json.loads(text)
 
-    def _exists(self, folder: str) -> bool:
-        fs, path = self._at(folder)
-        return fs.exists(path)
+    # --- what is committed ---
 
-    def changes(self) -> DataFrame:
-        """(run, key, *fields) of all committed runs."""
-        return self.spark.read.parquet(f"{self.path}/changes").where(F.col("run").isin(self.committed())).select("run", self.key, *self.fields)
+    def committed(self) -> list[int]:
+        """Numbers of the committed runs, ascending."""
+        return sorted(int(n[4:-5]) for n in self._names("commits") if n.startswith("run=") and n.endswith(".json"))
+
+    def changes(self, after: int | None = None) -> DataFrame:
+        """(run, key, *fields) of all committed runs, or of those after a number; no rows if they changed nothing. An error before the first commit."""
+        done = self.committed()
+        if not done:
+            raise ValueError(f"no run is committed below {self.path}")
+        commits = {n: self._load(f"commits/run={n}.json") for n in done if after is None or n > after or n == done[-1]}
+        named = StructType.fromJson(commits[done[-1]]["schema"])
+        kinds = StructType([StructField("run", IntegerType()), named[self.key], *(named[f] for f in self.fields)])
+        folders = [f"{self.path}/changes/run={n}/{commits[n]['attempt']}" for n in commits if commits[n]["attempt"] and (after is None or n > after)]
+        if not folders:
+            return self.spark.createDataFrame([], kinds)
+        return self.spark.read.schema(kinds).parquet(*folders)
 
     # --- one run ---
 
-    def _bucketed(self, source: DataFrame) -> DataFrame:
-        rows = source.select(self.key, *self.fields, *self.order).where(F.col(self.key).isNotNull())
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+    def _bucket(self, key: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
-    def fingerprints(self, source: DataFrame) -> DataFrame:
-        """(bucket, n, digest) of the rows of ``source``."""
+    def fingerprints(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """(bucket, n, digest) of ``rows``, of as many ``buckets``."""
+        rows = rows.where(F.col(self.key).isNotNull())
         row = F.xxhash64(*(F.struct(F.col(c).isNull(), c) for c in [self.key, *self.fields, *self.order])).cast("decimal(38,0)")
-        return self._bucketed(source).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("digest"))
+        return rows.groupBy(self._bucket(self.key, buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(row).cast("string").alias("digest"))
 
-    def run(self, number: int, source: DataFrame, die_after: str | None = None) -> list[int]:
-        """Processes ``source``, all rows there are to see now, as run ``number``. Returns the buckets that were recomputed.
+    def run(self, number: int, offered: DataFrame, whole: bool = False, die_after: str | None = None) -> list[int]:
+        """Processes ``offered`` as run ``number``; returns the buckets that were read and recomputed.
 
-        A number may be run again after a failure. ``die_after`` ('changes' or 'state') ends the run there, as a crash would.
+        ``offered`` are the rows that came since the last committed run (older ones may be among them and change nothing); what a failed
+        run was offered has to be offered again. If ``whole``, they are all rows there are: a key's version is then picked among them alone,
+        and buckets with equal fingerprints are not recomputed. Keys that are no longer offered keep their version. A committed number does nothing; a failed one may be run
+        again with other rows. ``die_after`` ('changes' or 'state') ends the run there, as a crash would.
         """
         done = self.committed()
         if number in done:
             return []
-        now = self.fingerprints(source)
-        last = self._prints(done[-1]) if done else {}
-        prints = {r["bucket"]: (r["n"], r["digest"]) for r in now.collect()}  # a row a bucket
-        changed = sorted(b for b in {*last, *prints} if last.get(b) != prints.get(b))
-        tasks = min(self.buckets, max(1, self.spark.sparkContext.defaultParallelism))
+        self._recover()
+        delete_path(self.spark, f"{self.path}/changes/run={number}")  # of attempts that died
+        last = self._load(f"commits/run={done[-1]}.json") if done else None
+        buckets = last["of"] if last else self._fitting(offered.where(F.col(self.key).isNotNull()).count())
+        now = {r["bucket"]: [r["n"], int(r["digest"])] for r in self.fingerprints(offered, buckets).collect()}  # a row a bucket
+        before = {b: (n, int(d)) for b, n, d, _ in last["buckets"]} if last else {}
+        prints = {b: (n, d) for b, (n, d) in now.items()}
+        for b, (n, d) in before.items():
+            if not whole or b not in now:
+                more = now.get(b, (0, 0))
+                prints[b] = (n + more[0], d + more[1])
+        changed = sorted(b for b in now if before.get(b) != prints[b])
+        wanted = self._fitting(sum(n for n, _ in prints.values()))
+        regrown = bool(last) and wanted >= 4 * buckets
+        attempt = uuid.uuid4().hex if changed else ""
+        wrote = {b: a for b, _, _, a in last["buckets"]} if last else {}
         if changed:
-            staged = self._staged(number, source, changed, done)
-            new = staged.where(F.col("fields").isNotNull() & (~F.col("fields").eqNullSafe(F.col("base"))))
-            new.select(F.lit(number).alias("run"), "bucket", self.key, "fields.*").repartition(tasks, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "bucket").parquet(f"{self.path}/changes")
+            staged = self._stage(attempt, offered, whole, buckets, None if regrown else changed, wanted if regrown else buckets, wrote)
+            if regrown:  # fingerprints of the rows kept, as the old ones cannot be divided
+                buckets, wrote = wanted, {}
+                kept = staged.select(F.col("_key").alias(self.key), "now.fields.*", "now.at.*")
+                prints = {r["bucket"]: (r["n"], int(r["digest"])) for r in self.fingerprints(kept, buckets).collect()}
+                changed = sorted(prints)
+            fields, known = F.col("now.fields"), F.col("base.fields")
+            new = staged.where(F.col("base").isNull() | ~fields.eqNullSafe(known))
+            new.select(F.lit(number).alias("run"), F.col("_key").alias(self.key), "now.fields.*").write.parquet(f"{self.path}/changes/run={number}/{attempt}")
             if die_after == "changes":
                 raise Interrupted
-            staged.select(self.key, "fields", "base", "written_by", "bucket").repartition(tasks, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/state")
+            self._save(f"pending/{attempt}.json", {"of": buckets})
+            self._replace(staged, buckets, sum(prints[b][0] for b in changed))
+            wrote |= dict.fromkeys(changed, attempt)
         if die_after:
             raise Interrupted
-        self._commit(number, prints)
+        schema = StructType([offered.schema[self.key], *(offered.schema[f] for f in self.fields)])
+        rows = [[b, n, str(d), wrote.get(b, "")] for b, (n, d) in sorted(prints.items())]
+        self._save(f"commits/run={number}.json", {"attempt": attempt, "of": buckets, "schema": json.loads(schema.json()), "buckets": rows})
+        if changed:
+            self._forget(attempt)
+        if regrown:
+            delete_path(self.spark, f"{self.path}/state/of={last['of']}")
         return changed
 
-    def _staged(self, number: int, source: DataFrame, changed: list[int], done: list[int]) -> DataFrame:
-        rows = self._bucketed(source).where(F.col("bucket").isin(changed))
-        newest = rows.groupBy("bucket", self.key).agg(F.max(F.struct(F.struct(*self.order).alias("at"), F.struct(*self.fields).alias("fields"))).alias("x")).select("bucket", self.key, F.col("x.fields").alias("fields"))
-        kind = StructType([source.schema[f] for f in self.fields])
-        if self._exists("state"):
-            schema = StructType([source.schema[self.key], StructField("fields", kind), StructField("base", kind), StructField("written_by", IntegerType()), StructField("bucket", IntegerType())])
-            old = self.spark.read.schema(schema).parquet(f"{self.path}/state").where(F.col("bucket").isin(changed))
-            known = F.when(F.col("written_by").isin(done), F.col("fields")).otherwise(F.col("base"))
-            old = old.select(F.col("bucket").cast("int").alias("bucket"), self.key, known.alias("base")).where("base is not null")
-            newest = newest.join(old, ["bucket", self.key], "full")
-        else:
-            newest = newest.withColumn("base", F.lit(None).cast(newest.schema["fields"].dataType))
-        # written first to a folder of its own: the state must not be read while it is replaced
-        return materialise(newest.withColumn("written_by", F.lit(number)), "staged")
+    def _fitting(self, rows: int) -> int:
+        return min(self.most_buckets, 1 << max(0, -(-rows // self.bucket_rows) - 1).bit_length())
+
+    def _stage(self, attempt: str, offered: DataFrame, whole: bool, buckets: int, changed: list[int] | None, into: int, wrote: dict[int, str]) -> DataFrame:
+        """Writes (_key, now, base, attempt, bucket) of the changed buckets (None: of all): the version after this run and the committed one."""
+        key = StructField("_key", offered.schema[self.key].dataType)
+        at, fields = StructType([offered.schema[c] for c in self.order]), StructType([offered.schema[c] for c in self.fields])
+        version = StructType([StructField("at", at), StructField("fields", fields)])
+        came = offered.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("_key"), F.struct(F.struct(*self.order).alias("at"), F.struct(*self.fields).alias("fields")).alias("came"), F.lit(None).cast(version).alias("base"))
+        if changed is not None:
+            came = came.where(self._bucket("_key", buckets).isin(changed))
+        if wrote:
+            kinds = StructType([key, StructField("now", version), StructField("base", version), StructField("attempt", StringType()), StructField("bucket", IntegerType())])
+            named = [(b, a) for b, a in wrote.items() if changed is None or b in set(changed)]  # one row a bucket
+            old = self.spark.read.schema(kinds).parquet(f"{self.path}/state/of={buckets}")
+            if changed is not None:
+                old = old.where(F.col("bucket").isin(changed))  # the folders of other buckets are not read
+            known = F.when(F.col("attempt") == F.col("committed"), F.col("now")).otherwise(F.col("base"))
+            old = old.join(F.broadcast(self.spark.createDataFrame(named, "bucket int, committed string")), "bucket").select("_key", F.lit(None).cast(version).alias("came"), known.alias("base"))
+            came = came.unionByName(old.where("base is not null"))
+        # one aggregate merges offered and committed versions; both are reduced before they move
+        merged = came.groupBy("_key").agg(F.max("came").alias("came"), F.max("base").alias("base"))
+        now = F.coalesce("came", "base") if whole else F.greatest("came", "base")
+        staged = merged.select("_key", now.alias("now"), "base", F.lit(attempt).alias("attempt"), self._bucket("_key", into).alias("bucket"))
+        path = f"{self.path}/staged/{attempt}"
+        staged.write.parquet(path)
+        return self.spark.read.schema(staged.schema).parquet(path)
+
+    def _replace(self, staged: DataFrame, buckets: int, rows: int) -> None:
+        """Replaces the buckets of ``staged``, of about ``rows`` rows, in the state; a bucket of many rows goes to several files."""
+        files = max(1, -(-rows // (8 * self.bucket_rows * buckets)))
+        tasks = max(1, min(buckets * files, -(-rows // self.bucket_rows)))
+        spread = staged.repartition(tasks, "bucket", F.pmod(F.hash("_key"), F.lit(files)))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/state/of={buckets}")
+
+    def _recover(self) -> None:
+        """Finishes the replacing that a dead attempt began: its rows read as the last commit, but none may be missing."""
+        done = {self._load(f"commits/run={n}.json")["attempt"] for n in self.committed()[-1:]}
+        for name in self._names("pending"):
+            attempt = name.removesuffix(".json")
+            if attempt not in done:
+                staged = self.spark.read.parquet(f"{self.path}/staged/{attempt}")
+                self._replace(staged, self._load(f"pending/{name}")["of"], staged.count())
+            self._forget(attempt)
+
+    def _forget(self, attempt: str) -> None:
+        delete_path(self.spark, f"{self.path}/pending/{attempt}.json")
+        delete_path(self.spark, f"{self.path}/staged/{attempt}")
 
 
 def replay(state: IncrementalState, start: DataFrame, feed: DataFrame, run_column: str, runs: Sequence[tuple[int, str]]) -> DataFrame:
-    """Runs ``runs`` (number, status) in order over ``start`` and the rows of ``feed`` seen so far; returns the changes of the committed ones.
+    """Runs ``runs`` (number, status) in order, each over the rows of ``feed`` offered since the last committed one; returns the changes.
 
-    Status 'ok' commits. 'killed' dies with its changes written and its state not, any other status with both written.
+    ``start`` is what was known before, as run 0 (runs are numbered from 1). Status 'ok' commits. 'killed' dies with its changes written and its state not, any other
+    status with both written.
     """
     state.run(0, start)
+    last = None  # offered before any run: with the first
     for number, status in runs:
-        seen = start.unionByName(feed.where(F.col(run_column) <= number).select(*start.columns))
+        came = feed.where((F.col(run_column) <= number) & (F.lit(True) if last is None else F.col(run_column) > last))
         try:
-            state.run(number, seen, None if status == "ok" else "changes" if status == "killed" else "state")
+            state.run(number, came.select(*start.columns), die_after=None if status == "ok" else "changes" if status == "killed" else "state")
+            last = number
         except Interrupted:
             pass
-    return state.changes().where("run > 0")
+    return state.changes(after=0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusrank.operators.incremental import IncrementalState, replay
-from corpusrank.shared import fresh_path, table
+from corpusrank.shared import delete_path, fresh_path, table
 
 
 def plain_hash(name: str):
@@ -21,7 +21,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "page_feed").where("hash is not null").select("run_no", "page_id", *fields, "seen_at", F.col("feed_id").cast("long").alias("feed_id"))
     runs = [(r["run_no"], r["status"]) for r in table(spark, d, "index_runs").where("run_no is not null").orderBy("run_no").collect()]
     state = IncrementalState(spark, fresh_path(spark, "index"), "page_id", ["hash", "model"], ["seen_at", "feed_id"])
-    return replay(state, start, feed, "run_no", runs).select(F.col("run").cast("int").alias("run_no"), "page_id")
+    found = replay(state, start, feed, "run_no", runs).select(F.col("run").cast("int").alias("run_no"), "page_id")
+    delete_path(spark, f"{state.path}/state")  # only the changes are read from here on
+    return found
 
 
 QUERIES = {"p1_found": p1_found}

@@ -1,4 +1,5 @@
 import json
+import shutil
 from pathlib import Path
 
 import pytest
@@ -18,40 +19,97 @@ def test_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_changes_survive_every_failure(spark, tmp_path):
-    def source(*rows):
-        return spark.createDataFrame([(k, v, i, "extra") for i, (k, v) in enumerate(rows)], "k string, v string, i int, bucket string")
+def rows_of(spark, *rows, start=0):
+    return spark.createDataFrame([(k, v, i, "extra", "x") for i, (k, v) in enumerate(rows, start)], "k string, v string, i int, bucket string, base string")
 
-    def fresh(name):
-        return IncrementalState(spark, f"{tmp_path}/{name}", "k", ["v"], ["i"], buckets=4)
 
+def changed(state, run=None):
+    return sorted((r["run"], r["k"], r["v"] or "") for r in state.changes().collect() if run in (None, r["run"]))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize("die", ["changes", "state"])
+def test_changes_survive_every_failure(spark, tmp_path, die, whole):
     first, second, third = [("a", "1"), ("b", "1"), (None, "x"), ("a", "1")], [("a", "2")], [("c", None), ("b", "1")]
-    for die in ("changes", "state"):
-        s = fresh(die)
-        s.run(1, source(*first))
-        with pytest.raises(Interrupted):
-            s.run(2, source(*first, *second), die_after=die)
-        with pytest.raises(Interrupted):  # a failure that undoes nothing of the one before
-            s.run(2, source(*first, *second), die_after="state")
-        s.run(3, source(*first, *second, *third))
-        assert sorted((r["run"], r["k"], r["v"] or "") for r in s.changes().collect()) == [(1, "a", "1"), (1, "b", "1"), (3, "a", "2"), (3, "c", "")]
-        assert s.run(3, source(*first)) == [] and s.committed() == [1, 3]
-        assert s.run(4, source(*first, *second, *third)) == []  # equal fingerprints: nothing is read again
-        s.run(5, source(*first))  # a value that goes back is a change
-        assert [(r["k"], r["v"]) for r in s.changes().where("run = 5").collect()] == [("a", "1")]
-
-
-def test_only_changed_buckets_are_recomputed(spark, tmp_path):
-    s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"], buckets=16)
+    s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"], bucket_rows=1)
+    s.run(1, rows_of(spark, *first), whole)
+    seen = rows_of(spark, *first, *second) if whole else rows_of(spark, *second, start=4)
+    with pytest.raises(Interrupted):
+        s.run(2, seen, whole, die_after=die)
+    with pytest.raises(Interrupted):  # a failure that undoes nothing of the one before
+        s.run(2, seen, whole, die_after="state")
+    everything = rows_of(spark, *first, *second, *third)
+    s.run(3, everything if whole else rows_of(spark, *second, *third, start=4), whole)
+    assert changed(s) == [(1, "a", "1"), (1, "b", "1"), (3, "a", "2"), (3, "c", "")]
+    assert s.run(3, rows_of(spark, *first), whole) == [] and s.committed() == [1, 3]
+    if whole:
+        assert s.run(4, everything, whole) == []  # equal fingerprints: nothing is read again
+        s.run(5, rows_of(spark, *first), whole)  # a value that goes back is a change
+        assert changed(s, 5) == [(5, "a", "1")]
+    else:
+        s.run(4, rows_of(spark, *first))  # older rows delivered again
+        assert changed(s, 4) == []
+
+
+@pytest.mark.parametrize("die", ["changes", "state"])
+def test_a_retry_with_other_rows_keeps_nothing_of_the_dead_attempt(spark, tmp_path, die):
+    s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"], bucket_rows=1, most_buckets=4)
+    s.run(0, rows_of(spark, *((x, "1") for x in "abcdefgh")))
+    with pytest.raises(Interrupted):
+        s.run(1, rows_of(spark, ("a", "2"), start=10), die_after=die)
+    s.run(1, rows_of(spark, ("b", "2"), start=10))
+    assert changed(s, 1) == [(1, "b", "2")]
+    s.run(2, rows_of(spark, ("a", "2"), ("b", "2"), start=20))  # the state did not take over the dead a
+    assert changed(s, 2) == [(2, "a", "2")]
+
+
+def test_a_crash_while_buckets_are_replaced_is_made_good(spark, tmp_path):
+    s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"], bucket_rows=1)
+    s.run(0, rows_of(spark, *((x, "1") for x in "abcdefgh")))
+    with pytest.raises(Interrupted):
+        s.run(1, rows_of(spark, ("a", "2"), ("c", "2"), start=10), die_after="state")
+    for folder in Path(tmp_path).glob("state/of=*/bucket=*"):  # deleted, not yet replaced
+        if any(r["attempt"] in str(list(Path(tmp_path).glob("pending/*"))) for r in spark.read.parquet(str(folder)).select("attempt").collect()):
+            shutil.rmtree(folder)
+    s.run(2, rows_of(spark, *((x, "1") for x in "abcdefgh"), start=5))
+    assert changed(s, 2) == [] and not list(Path(tmp_path).glob("staged/*")) and not list(Path(tmp_path).glob("pending/*.json"))
+    s.run(3, rows_of(spark, ("a", "2"), start=20))
+    assert changed(s, 3) == [(3, "a", "2")]
+
+
+def test_only_changed_buckets_are_read_and_written(spark, tmp_path):
+    s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"], bucket_rows=16)
     many = spark.range(200).selectExpr("cast(id as string) k", "'1' v", "0 i")
     assert len(s.run(1, many)) == 16
-    assert len(s.run(2, many.unionByName(spark.createDataFrame([("7", "2", 1)], "k string, v string, i int")))) == 1
-    assert [(r["k"], r["v"]) for r in s.changes().where("run = 2").collect()] == [("7", "2")]
+    wrote = {f: f.stat().st_mtime_ns for f in Path(tmp_path).glob("state/of=16/*/*.parquet")}
+    read = []
+    stage = s._stage
+    s._stage = lambda *a: read.append(stage(*a).count()) or s.spark.read.parquet(f"{tmp_path}/staged/{a[0]}")
+    one = spark.createDataFrame([("7", "2", 1)], "k string, v string, i int")
+    assert len(s.run(2, one)) == 1 and read[0] < 40 and changed(s, 2) == [(2, "7", "2")]
+    assert sum(f.exists() and f.stat().st_mtime_ns == t for f, t in wrote.items()) == len(wrote) - 1
+    assert s.run(3, many.unionByName(one), whole=True) == [] and len(read) == 1  # what came in parts has the fingerprint of the whole
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path):
+    s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"], bucket_rows=10)
+    part = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) k", "'1' v", "0 i")
+    assert len(s.run(1, part(0, 10))) == 1
+    with pytest.raises(Interrupted):
+        s.run(2, part(10, 200), die_after="state")
+    assert len(s.run(2, part(5, 200))) > 16 and len(changed(s, 2)) == 190 and len(list(Path(tmp_path).glob("state/*"))) == 1
+    s.run(3, part(0, 200).withColumn("v", F.when(F.col("k") == "9", "2").otherwise(F.col("v"))).withColumn("i", F.lit(1)))
+    assert changed(s, 3) == [(3, "9", "2")]
 
 
 def test_empty_state(spark, tmp_path):
     s = IncrementalState(spark, str(tmp_path), "k", ["v"], ["i"])
+    with pytest.raises(ValueError):
+        s.changes()
     assert s.run(1, spark.createDataFrame([], "k string, v string, i int")) == [] and s.committed() == [1]
+    assert s.changes().columns == ["run", "k", "v"] and s.changes().count() == 0
+    s.run(2, rows_of(spark, ("a", None)))
+    assert changed(s) == [(2, "a", "")]
 
 
 def test_packing_passes_over_what_does_not_fit(spark):
