@@ -10,8 +10,8 @@ Folders below the state's path (an *attempt* is one try of a run, with a name of
 - ``state/of=n/bucket=b``: of n buckets, the newest version of every key, beside it the version committed before, and the attempt that wrote
   the bucket. The last commit names the attempt of every bucket. A reader takes the first version if the bucket was written by that attempt,
   else the second. So an attempt that dies after any of its writes leaves a state that still reads as the last commit.
-- ``staged/<attempt>``: what an attempt is about to put into the state, kept until it is done. ``pending/<attempt>.json`` says that the replacing of
-  buckets has begun; the next run finishes it first, as a crash may have left a bucket deleted but not yet replaced.
+- ``staged/<attempt>``: what an attempt is about to put into the state, kept until that is done. ``pending/<attempt>.json`` says that the replacing of
+  buckets has begun and not ended; the next run finishes it first, as a crash may have left a bucket deleted but not yet replaced.
 - ``changes/run=r/<attempt>``: keys that are new or changed. Only the attempt that the commit of run r names counts.
 - ``commits/run=r.json``: bucket count, fingerprint and attempt of each bucket; written last, under another name that is then changed. That
   renaming is the commit.
@@ -150,14 +150,13 @@ class IncrementalState:
                 raise Interrupted
             self._save(f"pending/{attempt}.json", {"of": buckets})
             self._replace(staged, buckets, sum(prints[b][0] for b in changed))
+            self._forget(attempt)
             wrote |= dict.fromkeys(changed, attempt)
         if die_after:
             raise Interrupted
         schema = StructType([offered.schema[self.key], *(offered.schema[f] for f in self.fields)])
         rows = [[b, n, str(d), wrote.get(b, "")] for b, (n, d) in sorted(prints.items())]
         self._save(f"commits/run={number}.json", {"attempt": attempt, "of": buckets, "schema": json.loads(schema.json()), "buckets": rows})
-        if changed:
-            self._forget(attempt)
         if regrown:
             delete_path(self.spark, f"{self.path}/state/of={last['of']}")
         return changed
@@ -199,13 +198,11 @@ class IncrementalState:
 
     def _recover(self) -> None:
         """Finishes the replacing that a dead attempt began: its rows read as the last commit, but none may be missing."""
-        done = {self._load(f"commits/run={n}.json")["attempt"] for n in self.committed()[-1:]}
         for name in self._names("pending"):
-            attempt = name.removesuffix(".json")
-            if attempt not in done:
-                staged = self.spark.read.parquet(f"{self.path}/staged/{attempt}")
-                self._replace(staged, self._load(f"pending/{name}")["of"], staged.count())
-            self._forget(attempt)
+            staged = self.spark.read.parquet(f"{self.path}/staged/{name.removesuffix('.json')}")
+            self._replace(staged, self._load(f"pending/{name}")["of"], staged.count())
+            self._forget(name.removesuffix(".json"))
+        delete_path(self.spark, f"{self.path}/staged")
 
     def _forget(self, attempt: str) -> None:
         delete_path(self.spark, f"{self.path}/pending/{attempt}.json")
