@@ -2,10 +2,11 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusrank.operators import checks, diffusion, fusion, linkgraph, vectors
 from corpusrank.operators.graphs import connected_components
-from corpusrank.operators.skew import group_positions, join_statistics
+from corpusrank.operators.skew import group_positions, join_statistics, numbered_copies
 
 
 def rows(df, *cols):
@@ -140,11 +141,11 @@ def test_positions_and_statistics_of_hot_groups(spark):
 
 def test_counts_and_copies_of_hot_groups(spark):
     rows = spark.range(5000).selectExpr("case when id % 3 = 0 then 'hot' else cast(id % 50 as string) end g", "id % 7 v")
-    placed = skew.group_positions(rows, "g", ["v"], "at", "n")
+    placed = group_positions(rows, "g", ["v"], "at", "n")
     want = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}
     assert all(r["n"] == want[r["g"]] and 1 <= r["at"] <= r["n"] for r in placed.collect())
     assert placed.select("g", "at").distinct().count() == 5000 and set(placed.columns) == {"g", "v", "at", "n"}
-    copies = skew.numbered_copies(rows.unionAll(spark.createDataFrame([(None, None)] * 3, "g string, v long")), "copy", at_once=100)
+    copies = numbered_copies(rows.unionAll(spark.createDataFrame([(None, None)] * 3, "g string, v long")), "copy", at_once=100)
     assert copies.count() == 5003 and copies.distinct().count() == 5003
     got = copies.groupBy("g", "v").agg(F.max("copy").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     assert all(r["m"] + 1 == r["n"] for r in got)
