@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusrank.llm.tokens import token_sizes
+from corpusrank.operators.skew import numbered_copies
 from corpusrank.shared import materialise
 
-#: Values of the two further marginals; every other value, null included, counts as 'other', which bounds the cells.
-LANGUAGES = ("en", "de", "fr", "es")
-TOPICS = ("entity", "concept", "summary", "comparison", "source")
+#: Values of the language and of the topic marginal, at most: those of most tokens. The others, null included, count as 'other'; this bounds the cells.
+MOST_VALUES = 32
+#: Documents whose copies one task decides at a time.
+SLICE_DOCUMENTS = 4096
 
 
 def plain(name: Column) -> Column:
@@ -21,16 +22,18 @@ def plain(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""))
 
 
-def _folded(value: Column, known: Sequence[str]) -> Column:
-    return F.when(plain(value).isin(*known), plain(value)).otherwise("other")
-
-
 def sized_documents(docs: DataFrame, key: str, text: str, source: str, language: str, topic: str) -> DataFrame:
     """(key, source, language, topic, n_tokens), written once to the shared folder."""
-    kept = docs.select(F.col(key).alias("key"), plain(F.col(source)).alias("source"), _folded(F.col(language), LANGUAGES).alias("language"), _folded(F.col(topic), TOPICS).alias("topic"), F.col(text).alias("text"))
+    kept = docs.select(F.col(key).alias("key"), *(plain(F.col(c)).alias(n) for c, n in ((source, "source"), (language, "language"), (topic, "topic"))), F.col(text).cast("string").alias("text"))
     return materialise(token_sizes(kept, "text", ["key", "source", "language", "topic"]), "sized")
 
 
+def _values(sized: DataFrame, column: str, most: int) -> list[str]:
+    """The values of a marginal, 'other' last."""
+    known = sized.where(F.col(column).isNotNull() & (F.col(column) != "other")).groupBy(column).agg(F.sum("n_tokens").alias("n"))
+    return [r[0] for r in known.orderBy(F.desc("n"), column).limit(most).collect()] + ["other"]
+
+
 def source_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, weight, max_repeats, size, target, reach, short) of each target source.
 
@@ -85,33 +88,70 @@ def rake(sizes: np.ndarray, reach: np.ndarray, repeats: np.ndarray, rounds: int
     return x
 
 
-def drawn(sized: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+def copies_of(sizes: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """How often each document is drawn so that tokens come as near as they can to the sum of sizes x rates; in the order given.
+
+    Each is taken floor(rate) times. What its fraction asks for is carried on, and the document is taken once more when at least half of it
+    is owed. Documents of equal rate and near sizes are so taken in proportion to their fraction.
+    """
+    whole = np.floor(rates + 1e-9).astype(np.int64)
+    owed, out = 0.0, whole.copy()
+    for i, (size, part) in enumerate(zip(sizes, np.maximum(0.0, rates - whole), strict=True)):
+        if part > 1e-9:
+            owed += size * part
+            if 2 * owed >= size:
+                out[i] += 1
+                owed -= size
+    return out
+
+
+def drawn(sized: DataFrame, plan: DataFrame, seed: int = 7, most_values: int = MOST_VALUES, slice_documents: int = SLICE_DOCUMENTS) -> DataFrame:
     """(key, source, n_tokens, copies) of the documents drawn at least once.
 
-    A cell's documents are each taken floor(rate) times and once more with the rest's probability, by a hash of key and seed: the same in
-    every run, never more than the source's ``max_repeats``.
+    Every cell of source, language and topic has a rate, its raked tokens by its size. A source's documents are cut into slices by a hash of their key
+    and decided from large to small, by that hash within a size class, see ``copies_of``: a slice misses its tokens by about half its least document,
+    none is drawn more than ``max_repeats`` times, and every run draws the same. Rows that repeat are documents of their own.
     """
     rows = {r["source"]: r for r in plan.collect()}  # one row a target source
     names = sorted(rows)
-    langs, topics = [*LANGUAGES, "other"], [*TOPICS, "other"]
-    cells = sized.where(F.col("source").isin(*names)).groupBy("source", "language", "topic").agg(F.sum("n_tokens").alias("size"))
+    langs, topics = _values(sized, "language", most_values), _values(sized, "topic", most_values)
+    fold = lambda c, known: F.when(F.col(c).isin(known), F.col(c)).otherwise("other").alias(c)
+    kept = sized.where(F.col("source").isin(*names) & (F.col("n_tokens") > 0)).select("key", "source", fold("language", langs), fold("topic", topics), F.col("n_tokens").cast("long").alias("n_tokens"))
     sizes = np.zeros((len(names), len(langs), len(topics)))
-    for r in cells.collect():  # sources x languages x topics at most
+    number: dict[str, int] = {}
+    for r in kept.groupBy("source", "language", "topic").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n")).collect():  # a row a cell
         sizes[names.index(r["source"]), langs.index(r["language"]), topics.index(r["topic"])] = r["size"]
-    x = rake(sizes, np.array([rows[s]["reach"] for s in names]), np.array([rows[s]["max_repeats"] for s in names]))
-    rates = [(s, a, b, float(x[i, j, k] / sizes[i, j, k])) for i, s in enumerate(names) for j, a in enumerate(langs) for k, b in enumerate(topics) if sizes[i, j, k]]
-    if not rates:
+        number[r["source"]] = number.get(r["source"], 0) + r["n"]
+    key = sized.schema["key"].dataType.simpleString()
+    if not number:
         return sized.select("key", "source", "n_tokens", F.lit(0).cast("long").alias("copies")).where("false")
-    table = sized.sparkSession.createDataFrame(rates, "source string, language string, topic string, rate double")
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
-    return sized.join(F.broadcast(table), ["source", "language", "topic"]).select("key", "source", "n_tokens", copies).where("copies > 0")
+    x = rake(sizes, np.array([rows[s]["reach"] for s in names]), np.array([rows[s]["max_repeats"] for s in names]))
+    rates = [(s, a, b, float(x[i, j, k] / sizes[i, j, k]), -(-number[s] // slice_documents)) for i, s in enumerate(names) for j, a in enumerate(langs) for k, b in enumerate(topics) if sizes[i, j, k]]
+    table = sized.sparkSession.createDataFrame(rates, "source string, language string, topic string, rate double, slices long")
+    chance = F.xxhash64(F.lit(seed), "key", "copy")
+    sliced = numbered_copies(kept, "copy").join(F.broadcast(table), ["source", "language", "topic"]).select("key", "source", "n_tokens", "rate", F.pmod(chance, F.col("slices")).alias("slice"), chance.alias("chance"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(kind=np.floor(np.log2(pdf["n_tokens"].to_numpy()))).sort_values(["kind", "chance"], ascending=[False, True], kind="stable")
+        pdf = pdf.assign(copies=copies_of(pdf["n_tokens"].to_numpy(), pdf["rate"].to_numpy()))
+        return pdf.loc[pdf["copies"] > 0, ["key", "source", "n_tokens", "copies"]]
+
+    return sliced.groupBy("source", "slice").applyInPandas(decide, f"key {key}, source string, n_tokens long, copies long")
 
 
 def shares(plan: DataFrame, sample: DataFrame) -> DataFrame:
-    """(source, weight, max_repeats, size, target, reach, short, drawn, share): what each source really contributes."""
-    got = sample.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn"))
-    total = got.agg(F.coalesce(F.sum("drawn"), F.lit(0)).alias("all"))
+    """(source, weight, max_repeats, size, target, reach, short, drawn, share, unfilled): what each source really contributes, and by how many tokens its
+    cap on repeats keeps it from its target."""
+    got = materialise(sample.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("drawn")), "drawn")
+    everything = got.agg(F.coalesce(F.sum("drawn"), F.lit(0))).first()[0]
     out = plan.join(got, "source", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    everything = total.first()["all"]
-    return out.withColumn("share", F.when(F.lit(everything > 0), F.col("drawn") / F.lit(float(max(1, everything)))).otherwise(0.0))
+    out = out.withColumn("share", F.when(F.lit(everything > 0), F.col("drawn") / F.lit(float(max(1, everything)))).otherwise(0.0))
+    return out.withColumn("unfilled", F.greatest(F.lit(0.0), F.col("target") - F.col("reach")))
+
+
+def falling_short(shared: DataFrame) -> DataFrame:
+    """(source) of ``shares``: sources whose drawn tokens miss their target because all their documents, as often as allowed, do not suffice.
+
+    A capped source is drawn whole at every repeat, so its draw is below its target; ``short`` then tells it from one that a draw missed by a document.
+    """
+    return shared.where((F.col("drawn") < F.col("target")) & F.col("short")).select("source")

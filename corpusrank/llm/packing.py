@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusrank.operators.skew import numbered_copies
 from corpusrank.shared import partitions
 
 #: Pieces that one task packs at a time. Containers are as full as their average, so more would hardly fill them better.
@@ -76,17 +77,14 @@ def packed(items: DataFrame, key: str, size: str, capacity: int = 4096, cell_ite
     null key is kept; an empty table gives no rows. Items are spread evenly over cells, each packed on its own, so no task
     grows with the input.
     """
-    n = items.count()
-    cells = max(1, math.ceil(n / cell_items))
-    cut = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("size > 0")
+    kept = items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size")).where("size > 0")
     pieces = F.ceil(F.col("size") / F.lit(capacity))
-    cut = cut.select("key", pieces.alias("pieces"), "size", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+    cells = max(1, math.ceil((kept.agg(F.sum(pieces)).first()[0] or 0) / cell_items))
+    # rows that repeat a key must not share a cell
+    cut = numbered_copies(kept, "copy")
+    cut = cut.select("key", "copy", pieces.alias("pieces"), "size", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
     rest = F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity)
-    cell = F.pmod(F.xxhash64("key", "piece", "size"), F.lit(cells))
-    cut = cut.select(cell.alias("cell"), "key", "piece", "pieces", rest.alias("n_tokens"))
-    if cells > 1:
-        # rows that repeat one key would share a cell; numbering rows in their task spreads them too
-        cut = cut.withColumn("cell", F.pmod(F.col("cell") + F.monotonically_increasing_id(), F.lit(cells)))
+    cut = cut.select(F.pmod(F.xxhash64("key", "piece", "size", "copy"), F.lit(cells)).alias("cell"), "key", "piece", "pieces", rest.alias("n_tokens"))
     kind = items.schema[key].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -32,14 +32,15 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("mention_id is not null").dropDuplicates(["mention_id"]).unionAll(rows.where("mention_id is null"))
 
 
-def _characteristic(spark: SparkSession, d: str, least_tf: int) -> DataFrame:
-    a = terms.characteristic_values(_mentions(spark, d), "doc_path", "entity", "tf", least_tf)
-    b = terms.characteristic_terms(table(spark, d, "wiki_docs"), "path", ["title", "content"], least_tf)
+def _characteristic(spark: SparkSession, d: str, least_tf: int, most_df: int | None = None) -> DataFrame:
+    a = terms.characteristic_values(_mentions(spark, d), "doc_path", "entity", "tf", least_tf, most_df=most_df)
+    b = terms.characteristic_terms(table(spark, d, "wiki_docs"), "path", ["title", "content"], least_tf, most_df=most_df)
     return a.withColumn("origin", F.lit("mention")).unionByName(b.withColumn("origin", F.lit("content")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = _characteristic(spark, d, 4).where(F.col("df").between(2, 5) & F.col("score").isNotNull())
+    # by score first: what no term of five records can fall below; the rule itself decides among those
+    found = _characteristic(spark, d, 4, most_df=5).where(F.col("df").between(2, 5))
     return found.select("origin", F.col("doc").alias("doc_path"), "term")
 
 
@@ -62,7 +63,7 @@ def _scored(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, list[str]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [ranking.agreed(df.where(F.col("closeness").isNotNull()), s).select(F.lit(o).alias("origin"), F.col("group").cast("long").alias("group_id"), "item") for o, df, s in _scored(spark, d)]
+    parts = [ranking.agreed(df, s).select(F.lit(o).alias("origin"), F.col("group").cast("long").alias("group_id"), "item") for o, df, s in _scored(spark, d)]
     return parts[0].unionAll(parts[1])
 
 
@@ -122,7 +123,9 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).where("pieces > 1 and piece = 0").select(F.col("key").alias("doc_id"))
+    """Documents that the packing puts into several containers."""
+    spread = _packed(spark, d).groupBy(F.col("key").alias("doc_id")).agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return spread.where("first <> last").select("doc_id")
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +143,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.source_plan(_sized(spark, d), table(spark, d, "mix_targets")).where("short").select("source")
+    return mixing.falling_short(p9_shares(spark, d))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -168,11 +171,11 @@ def _holdout(measures: DataFrame, half: int) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the certified cut-offs of shorter sequences reject, or that they leave open, are checked by the rule; no other is."""
     measures = materialise(_repetition(spark, d), "measures")
-    cutoffs = repetition.certified_cutoffs(_holdout(measures, 0), ["phrase_share"])
-    # beyond the certified cut-off, or where none could be certified, or from the rule's own share up where the cut-off lies above it, the exact check decides
-    open_ = F.col("flag").isNull() | F.col("flag") | (F.col("phrase_share") >= 0.3 - 1e-9)
-    suspects = repetition.flagged(measures, cutoffs, ["phrase_share"]).where(open_)
+    cutoffs = repetition.certified_cutoffs(_holdout(measures, 0), ["short_share"])
+    doubt = {"short_share": repetition.least_short_share(0.3, 20) - 1e-9}
+    suspects = repetition.flagged(measures, cutoffs, ["short_share"], doubt).where(F.col("flag").isNull() | F.col("flag"))
     return suspects.where(_is_repetitive()).select(F.col("key").alias("doc_id"))
 
 

@@ -203,33 +203,42 @@ def _counts(columns: list[str]):
     return run
 
 
-def _scored(postings: DataFrame, stats: DataFrame, n: int, c: float) -> DataFrame:
+def _dfr(tfn: Column, rate: Column) -> Column:
+    """Information content of ``tfn`` occurrences under a geometric distribution of mean ``rate``, times the Laplace after-effect gain."""
+    return (F.log2(1 + rate) + tfn * F.log2((1 + rate) / rate)) / (tfn + 1)
+
+
+def _scored(postings: DataFrame, stats: DataFrame, n: int, c: float, most_df: int | None) -> DataFrame:
     """Joins the statistics and scores; see ``characteristic_terms``."""
     stats = materialise(stats, "terms")
     mean = (stats.agg(F.sum("cf")).first()[0] or 0) / max(1, n)
     joined = join_statistics(postings, stats, "term", "df", F.col("doc"))
     tfn = F.col("tf") * F.log2(1 + F.lit(float(c) * mean) / F.col("length"))
-    rate = F.col("cf") / F.lit(float(max(1, n)))
-    information = F.log2(1 + rate) + tfn * F.log2((1 + rate) / rate)
-    return joined.withColumn("score", information / (tfn + 1)).select("doc", "term", "tf", "length", "df", "cf", "score")
+    joined = joined.withColumn("score", _dfr(tfn, F.col("cf") / F.lit(float(max(1, n)))))
+    if most_df is not None:
+        # the score falls as the rate rises up to tfn and rises beyond: its least value for rates up to that of the commonest rare term
+        rate = (stats.where(F.col("df") <= most_df).agg(F.max("cf")).first()[0] or 0) / max(1, n)
+        joined = joined.where(F.col("score") >= _dfr(tfn, F.least(F.lit(float(rate)), tfn)) - 1e-9) if rate else joined.where("false")
+    return joined.select("doc", "term", "tf", "length", "df", "cf", "score")
 
 
-def characteristic_terms(docs: DataFrame, key: str, texts: list[str], least_tf: int = 1, c: float = 1.0) -> DataFrame:
+def characteristic_terms(docs: DataFrame, key: str, texts: list[str], least_tf: int = 1, c: float = 1.0, most_df: int | None = None) -> DataFrame:
     """(doc, term, tf, length, df, cf, score) of each term that occurs at least ``least_tf`` times in a record.
 
     Divergence from randomness: tfn = tf * log2(1 + c * mean length / length), the information content of tfn occurrences under a
     geometric distribution of mean rate = cf / records, log2(1 + rate) + tfn * log2((1 + rate) / rate), times the Laplace after-effect gain
     1 / (tfn + 1). Statistics cover every record, whatever ``least_tf``. Null texts hold no terms but are records; a null key is kept;
-    repeated keys are records of their own; an empty table gives no rows. Other columns are ignored.
+    repeated keys are records of their own; an empty table gives no rows. Other columns are ignored. With ``most_df``, only terms that
+    score at least what any term of at most so many records would score in their place: all those, and few others.
     """
     names = [f"t{i}" for i in range(len(texts))]
     kept = spread(docs.select(F.col(key).cast("string").alias("doc"), *(F.col(x).cast("string").alias(a) for x, a in zip(texts, names, strict=True))))
     stats = kept.select(*names).mapInArrow(_counts(names), "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     postings = kept.mapInArrow(_postings(names, least_tf), "doc string, term string, tf long, length long")
-    return _scored(postings, stats, docs.count(), c)
+    return _scored(postings, stats, docs.count(), c, most_df)
 
 
-def characteristic_values(counted: DataFrame, doc: str, term: str, tf: str, least_tf: int = 1, c: float = 1.0) -> DataFrame:
+def characteristic_values(counted: DataFrame, doc: str, term: str, tf: str, least_tf: int = 1, c: float = 1.0, most_df: int | None = None) -> DataFrame:
     """As ``characteristic_terms``, of rows that say how often a term occurs: several rows of one (doc, term) are summed.
 
     Rows with a null doc or term, or a tf that is null or not positive, are no occurrences. Records are the docs that have any.
@@ -239,7 +248,7 @@ def characteristic_values(counted: DataFrame, doc: str, term: str, tf: str, leas
     stats = summed.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     lengths = materialise(summed.groupBy("doc").agg(F.sum("tf").alias("length"), F.count(F.lit(1)).alias("terms")), "lengths")
     postings = join_statistics(summed.where(F.col("tf") >= least_tf), lengths, "doc", "terms", F.col("term")).drop("terms")
-    return _scored(postings, stats, lengths.count(), c)
+    return _scored(postings, stats, lengths.count(), c, most_df)
 
 
 def same_path(path: Column) -> Column:

@@ -53,3 +53,26 @@ def test_a_hot_group_is_ranked_whole(spark):
     assert [r["rank"] for r in hot] == list(range(1, 5001))
     assert {r["item"]: (r["closeness"], r["rank"]) for r in out if r["group"] != 1} == {"only": (0.0, 1), "flat": (0.0, 1), "flat2": (0.0, 2)}
     assert ranking.ideal_point(df.where("false"), "g", "item", ["a", "b"]).count() == 0
+
+
+def test_items_at_the_top_of_all_scores_are_among_the_closest(spark):
+    rng = random.Random(4)
+    rows = [(g, f"i{i}", rng.choice([None, float("nan"), *map(float, range(6))]), rng.gauss(0, 1) * 10 ** rng.randrange(4)) for g in range(150) for i in range(rng.randrange(1, 14))]
+    scored = ranking.ideal_point(spark.createDataFrame(rows, "g int, i string, a double, b double"), "g", "i", ["a", "b"])
+    by = {}
+    for r in scored.collect():
+        by.setdefault(r["group"], []).append(r)
+    for items in by.values():
+        for r in items:
+            if r["top_a"] and r["top_b"]:
+                assert sum(o["closeness"] > r["closeness"] + 1e-9 for o in items) <= 2
+    broken = scored.withColumn("closeness", -scored["closeness"])
+    assert ranking.agreed(broken, ["a", "b"]).count() < ranking.agreed(scored, ["a", "b"]).count()
+
+
+def test_winsor_cuts_are_exact_ranks(spark):
+    values = [float(x) for x in range(1, 41)]
+    random.Random(1).shuffle(values)
+    df = spark.createDataFrame([(1, f"i{v}", v) for v in values], "g int, i string, a double")
+    cuts = ranking._cuts(df.toDF("group", "item", "a"), ["a"], 0.05, 2).first()
+    assert (cuts["low_cut_a"], cuts["high_cut_a"], cuts["least_a"]) == (2.0, 38.0, 39.0)

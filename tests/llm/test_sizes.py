@@ -3,7 +3,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusrank.llm import mixing, packing, tokens
+from corpusrank.llm import mixing, packing, queries, tokens
+from pyspark.sql import functions as F
 
 
 @settings(max_examples=80, deadline=None)
@@ -68,11 +69,39 @@ def test_mix(spark):
     assert all(most[s] <= by[s]["max_repeats"] for s in most) and most["tiny"] == 3
     out = {r["source"]: r for r in mixing.shares(plan, sample).collect()}
     for s in ("big", "small"):
-        assert out[s]["drawn"] == pytest.approx(by[s]["reach"], rel=0.05)
+        assert out[s]["drawn"] == pytest.approx(by[s]["reach"], rel=0.002)
     assert out["tiny"]["drawn"] == by["tiny"]["reach"] and sum(r["share"] for r in out.values()) == pytest.approx(1)
     assert sorted(map(tuple, sample.collect())) == sorted(map(tuple, mixing.drawn(sized, plan).collect()))
 
 
+def test_small_sources_of_uneven_documents_are_met(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"s{i % 7}", f"l{i % 40}", f"t{i % 5}", int(n)) for i, n in enumerate(np.exp(rng.normal(5, 1.2, 700)).astype(int) + 1)] + [(1, "s1", None, None, 9)] * 2 + [(2, "s2", "en", "x", None)]
+    sized = spark.createDataFrame(rows, SIZED)
+    plan = mixing.source_plan(sized, spark.createDataFrame([(f"s{i}", 1 / 7, 2) for i in range(7)], "source string, weight double, max_repeats int"))
+    out = mixing.shares(plan, mixing.drawn(sized, plan, most_values=8, slice_documents=50)).collect()
+    assert all(r["drawn"] == pytest.approx(r["reach"], rel=0.02) for r in out) and all(r["unfilled"] == max(0, r["target"] - r["reach"]) for r in out)
+
+
+def test_short_sources_are_those_the_draw_misses(spark, tmp_path, monkeypatch):
+    docs = [(i, f"word{i} " * (300 if i % 10 else 20), "en", "small" if i % 10 == 0 else "big", "entity") for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, page_type string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.7, 1), ("Small ", 0.3, 2)], "source string, weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert [r["source"] for r in queries.p9_found(spark, str(tmp_path)).collect()] == ["small"]
+    raked = []
+    rake = mixing.rake
+    monkeypatch.setattr(mixing, "rake", lambda *a: raked.append(1) or rake(*a) * 1000)  # a broken method is seen
+    assert queries.p9_found(spark, str(tmp_path)).count() == 0 and raked
+
+
+def test_cut_documents_are_those_in_several_containers(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "word " * 9000), (2, "word"), (3, None), (4, "word " * 4000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_id"] for r in queries.p8_found(spark, str(tmp_path)).collect()] == [1]
+    packed = packing.packed
+    monkeypatch.setattr(packing, "packed", lambda *a: packed(*a).withColumn("container", F.lit(1)))
+    assert queries.p8_found(spark, str(tmp_path)).count() == 0
+
+
 def test_empty_mix(spark):
     sized = spark.createDataFrame([], SIZED)
     targets = spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1), ("b", None, None)], "source string, weight double, max_repeats int")

@@ -1,3 +1,4 @@
+import random
 import math
 from collections import Counter
 
@@ -60,3 +61,14 @@ def test_values_are_summed_and_hubs_fade(spark):
 def test_spellings_of_a_path(spark, path):
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(terms.same_path(df["p"])).first()[0] == "wiki/a/b.md"
+
+
+def test_rare_terms_are_never_below_the_bound(spark):
+    rng = random.Random(6)
+    rows = [(f"d{d}", f"t{min(int(rng.expovariate(0.05)), 400)}", rng.choice([1, 1, 2, 5, 40, 3000])) for d in range(60) for _ in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame(rows, "d string, t string, n int")
+    every = {(r["doc"], r["term"]): r["df"] for r in terms.characteristic_values(df, "d", "t", "n").collect()}
+    kept = {(r["doc"], r["term"]) for r in terms.characteristic_values(df, "d", "t", "n", most_df=5).collect()}
+    rare = {k for k, n in every.items() if n <= 5}
+    assert rare <= kept and len(kept) < len(every)
+    assert terms.characteristic_values(df, "d", "t", "n", most_df=0).count() == 0
