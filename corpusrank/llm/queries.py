@@ -49,7 +49,9 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_markup(table(spark, d, "wiki_docs"), "path", "content").select(F.col("key").alias("path"), F.explode("markups").alias("markup"))
+    """The markups of all labelled blocks of a record, content or not."""
+    cleaned = markup.clean_markup(table(spark, d, "wiki_docs"), "path", "content")
+    return cleaned.select(F.col("key").alias("path"), F.explode(F.array_union("content_markups", "other_markups")).alias("markup"))
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:

@@ -15,22 +15,26 @@ HELD = [
 ]
 
 
+def marks_of(text):
+    return set().union(*(b.markups for b in markup.parse(text)))
+
+
 @pytest.mark.parametrize("text", PLAIN)
 def test_no_markup(text):
-    assert markup.parse(text).markups == set()
+    assert marks_of(text) == set()
     for other in PLAIN:
-        assert markup.parse(f"{text}\n\n{other}").markups == set()
+        assert marks_of(f"{text}\n\n{other}") == set()
 
 
 @pytest.mark.parametrize(("kind", "text"), HELD)
 def test_markup(kind, text):
-    assert markup.parse(text).markups == {kind}
-    assert markup.parse(text.replace("\n", "\r\n") + "\r\n").markups == {kind}
+    assert marks_of(text) == {kind}
+    assert marks_of(text.replace("\n", "\r\n") + "\r\n") == {kind}
 
 
 def test_math_elements_are_two_markups():
-    assert markup.parse("<math>\\frac{a}{b}</math>").markups == {"html", "latex"}
-    assert markup.parse("<math>a + b</math>").markups == {"html"}
+    assert marks_of("<math>\\frac{a}{b}</math>") == {"html", "latex"}
+    assert marks_of("<math>a + b</math>") == {"html"}
 
 
 def test_structure_survives():
@@ -47,8 +51,38 @@ def test_structure_survives():
 
 def test_plain_text_stays():
     text = "First paragraph of words.\n\nSecond one, with a line\nthat goes on here."
-    assert markup.clean(text) == (text, [], 2, 0)
-    assert markup.clean(None) == ("", [], 0, 0) and markup.clean(" \n ")[0] == ""
+    assert markup.clean(text) == (text, [], [], 2, 0)
+    assert markup.clean(None) == ("", [], [], 0, 0) and markup.clean(" \n ")[0] == ""
+    for prose in ("rock ''n'' roll and 5'' pipe", "a $5 note", "so {{ it goes"):
+        assert markup.clean(prose)[:3] == (prose, [], [])
+
+
+def test_nothing_is_capped():
+    formula = "x_{1} + \\frac{a}{b} " * 300
+    clean, marks, _, _, _ = markup.clean(f"It is ${formula.strip()}$ in all.")
+    assert clean == f"It is ${formula.strip()}$ in all." and marks == ["latex"]
+    nested = "so " + "{{a|" * 20 + "x" + "}}" * 20 + " it is"
+    assert markup.clean(nested)[:2] == ("so  it is", ["wiki"])
+    assert markup.clean("so " + "\\emph{a " * 20 + "x" + "}" * 20)[0] == "so " + "a " * 20 + "x"
+    deep = "<div>" * 3000 + "<p>inner text of some words</p>" + "</div>" * 3000 + "<p>after it</p>"
+    assert markup.clean(deep)[0] == "inner text of some words\n\nafter it"
+    assert markup.clean("'''''both''''' and '''bold''' and ''thin'' and 5'' pipe")[0] == "both and bold and thin and 5'' pipe"
+    assert markup.clean("<title>Only a title</title>")[:3] == ("Only a title", [], ["html"])
+
+
+def test_markups_stand_in_labelled_blocks(spark):
+    text = "---\na: b\n---\n<article><p>A paragraph of **strong** words that goes on for a while, as text does.</p></article><footer>{{stub}} <a href='x'>Home</a></footer><!-- end -->"
+    clean, content, other, n, dropped = markup.clean(text)
+    assert content == ["html", "markdown"] and set(other) == {"html", "markdown", "wiki"} and (n, dropped) == (2, 1) and "Home" not in clean
+    row = markup.clean_markup(spark.createDataFrame([("a", text), ("a", text), (None, None)], "k string, t string"), "k", "t", markup.PRIOR_WEIGHTS).collect()
+    assert len(row) == 3 and sorted(len(r["content_markups"]) for r in row) == [0, 2, 2]
+
+
+def test_found_markups_need_labelled_blocks(spark, monkeypatch):
+    monkeypatch.setattr(markup, "content_blocks", lambda blocks, weights: [False] * len(blocks))
+    assert markup.clean("a **bold** word")[:3] == ("", [], ["markdown"])
+    monkeypatch.setattr(markup, "parse", lambda text: [])
+    assert markup.clean("a **bold** word")[:3] == ("", [], [])
 
 
 def test_flow_is_minimal():
@@ -74,7 +108,7 @@ def test_smoothness_joins_neighbours():
 def test_table(spark):
     rows = [("a", "<p>x</p>", 1), ("a", "<p>x</p>", 1), (None, "# h", 2), ("n", None, 3), ("e", "", 4)]
     df = spark.createDataFrame(rows, "path string, content string, markups int")
-    got = [(r["key"], r["markups"]) for r in markup.clean_markup(df, "path", "content").collect()]
+    got = [(r["key"], r["content_markups"]) for r in markup.clean_markup(df, "path", "content").collect()]
     assert sorted(got, key=str) == sorted([("a", ["html"]), ("a", ["html"]), (None, ["markdown"]), ("n", []), ("e", [])], key=str)
     assert markup.clean_markup(df.where("false"), "path", "content").count() == 0
 
