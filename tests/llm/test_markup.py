@@ -118,7 +118,7 @@ def test_fitted_classifier_on_held_out_blocks(spark):
     weights = markup.fit(d.where("path < 'wiki'"), "content")
     right = total = 0
     for r in d.where("path >= 'wiki'").select("content").collect():
-        blocks = markup.parse(r["content"]).blocks
+        blocks = [b for b in markup.parse(r["content"]) if b.kind != "residue"]
         for b, keep in zip(blocks, markup.content_blocks([markup.Block(b.text, b.kind, links=b.links) for b in blocks], weights), strict=True):
             y = markup.labels_of(b)
             if y == 1:
