@@ -87,15 +87,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.when(F.col("probe_kind") == "item", "chunk").otherwise(F.col("probe_kind")).alias("probe_kind"), "probe_id", "neighbour_id")
 
 
-#: Ranges of the forest in p6_recall: several a tree, as a large collection has them.
-_RECALL_RANGES = 100
+#: Items in a leaf of the forest in p6_recall: so few that every tree has many leaves, as in a large collection.
+_RECALL_LEAF = 2048
 
 
 def p6_recall(spark: SparkSession, d: str) -> DataFrame:
     """Of the true neighbours, by brute force over all chunks, of every chunk whose id is divisible by 20 and of every logged query: how many the forest
-    finds when each tree spans several ranges."""
+    finds when each tree has many leaves."""
     vectors, asked = _chunk_vectors(spark, d), _asked_vectors(spark, d)
-    found = neighbours.similar_vectors(vectors, asked, ranges=_RECALL_RANGES).select("probe_kind", "probe_id", "neighbour_id")
+    found = neighbours.similar_vectors(vectors, asked, leaf_rows=_RECALL_LEAF).select("probe_kind", "probe_id", "neighbour_id")
     probes = vectors.where(F.col("id") % 20 == 0).select(F.lit("item").alias("kind"), "id", "vector").unionAll(asked.dropDuplicates(["id"]))
     # one number a probe, negative for queries, so that no query is taken for the chunk of its id
     named = probes.select(F.when(F.col("kind") == "item", F.col("id")).otherwise(-1 - F.col("id")).alias("id"), "vector")

@@ -30,13 +30,13 @@ def test_copies_ties_nulls_and_dims(spark):
     assert neighbours.similar_vectors(df.where("false")).count() == 0
 
 
-def test_logged_probes_meet_items_in_many_ranges(spark):
+def test_logged_probes_meet_items_in_many_leaves(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1500, 64))
     items = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>")
     near = [("query", i, [float(v) for v in x[i] + 0.3 * rng.standard_normal(64)]) for i in range(0, 1500, 5)]
     probes = spark.createDataFrame(near, "kind string, id long, vector array<float>")
-    out = neighbours.similar_vectors(items, probes, ranges=64).where("probe_kind = 'query'")
+    out = neighbours.similar_vectors(items, probes, leaf_rows=256).where("probe_kind = 'query'")
     assert out.where("probe_id = neighbour_id").count() >= 0.98 * len(near)
 
 
