@@ -1,6 +1,8 @@
 import random
+from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from corpusrank.llm import neardup
@@ -75,3 +77,36 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i % 9000}" for i in range(120_000))
     df = spark.createDataFrame([("a", long), ("b", long + " end"), ("c", "w1 w2")], "key string, text string")
     assert [(r["key_a"], r["key_b"]) for r in neardup.similar_pairs(df, "key", "text", 3, 0.5).collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_trie_finds_what_counting_finds(seed):
+    rng = random.Random(seed)
+    t = Fraction(rng.choice([1, 2, 3, 4]), 5)
+    record = np.array(sorted(rng.sample(range(60), rng.randrange(1, 40))), dtype=np.uint64)
+    base = [sorted(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(10)]
+    partners = [(i, np.array(sorted(set(rng.choice(base)[: rng.randrange(1, 40)]) | set(rng.sample(range(60), rng.randrange(0, 6))) or {1}), dtype=np.uint64)) for i in range(120)]
+    partners += [(1000 + i, np.array(sorted((set(record.tolist()) | {i}) - {i + 1}), dtype=np.uint64)) for i in range(5)]
+    want = {(i, o, u) for i, p in partners if (o := len(set(p.tolist()) & set(record.tolist()))) >= t * (u := len(set(p.tolist()) | set(record.tolist())))}
+    assert set(neardup._traversed(record, partners, t)) == want and want
+
+
+def test_records_of_many_partners_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PARTNERS", 16)
+    words = [f"w{i}" for i in range(40)]
+    rows = [("hub", " ".join(words))] + [(f"k{i:03d}", " ".join(words + [f"x{i}"])) for i in range(120)] + [(f"c{i:03d}", " ".join(words)) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    got = sorted((r["key_a"], r["key_b"]) for r in neardup.similar_pairs(df, "key", "text", 3, 0.9).collect())
+    assert got == sorted(brute(rows, 3, 0.9)) and len(got) == 161 * 160 // 2
+
+
+def test_a_crowded_sketch_does_not_split_everything(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_MOST_BITS", 16)
+    rng = random.Random(3)
+    rows = [(f"k{i}", "everyone says this " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(600))) for i in range(800)]
+    sets = neardup.token_sets(spark.createDataFrame(rows, "key string, text string"), 3, 3)
+    tokens = sum(r["n"] for r in sets.collect())
+    ranks = neardup.token_order(sets, tokens)
+    assert len(ranks) == 1 << 16 and tokens >> 16 >= 7  # every counter holds seven tokens
+    counts = neardup._least_count(ranks)
+    assert np.median(counts) < 7 and (counts > 400).sum() == 1  # the one common sequence stands out
