@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusrank.shared import materialise
+from corpusrank.shared import materialise, release
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(src, dst)``; the component is its least node.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes: O(log n) rounds in practice and no
-    round gathers a component in one task, as neighbours are only ever reduced to their minimum by an aggregate. Each round is
-    written to the shared folder. Nulls and self-loops of the input are ignored; an empty graph gives no rows.
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes: O(log n) rounds in practice. Neighbours are
+    reduced to their minimum by partial aggregates; the joins that carry a minimum back to the edges of a hub rely on adaptive
+    execution to split it. Each round is written to the shared folder, and the one before deleted. Nulls and self-loops of the input are ignored; an empty graph gives no rows.
     """
     pairs = materialise(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "star")
     for _ in range(most_rounds):
@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = materialise(small, "star")
         # done when every node points at a root that points nowhere, and nothing moved
         changed = now.exceptAll(pairs).limit(1).count() or pairs.exceptAll(now).limit(1).count()
+        release(pairs)
         pairs = now
         if not changed:
             break

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrank.functions import text as t
+from corpusrank.operators.skew import group_positions
 from corpusrank.shared import materialise, spread
 
 # What the ranking function uses. Effective column weights, then those documented for the same columns.
@@ -32,7 +37,7 @@ class LexicalIndex:
 def index_documents(docs: DataFrame, keep: bool = True) -> LexicalIndex:
     """The index of ``docs(path, title, content)``; nulls count as empty. ``keep`` writes the tables to the shared folder once.
 
-    Tokens are counted per document inside arrays, so building needs no shuffle of positions; only document frequencies are shuffled.
+    Tokens are counted within each document where they are (``_counted``), so only document frequencies are shuffled.
     """
     tokens = spread(docs.select("path", "title", "content")).select(
         F.col("path").alias("key"),
@@ -43,19 +48,38 @@ def index_documents(docs: DataFrame, keep: bool = True) -> LexicalIndex:
     if keep:
         tokens = materialise(tokens, "tokens")
     dl = F.size("title") + F.size("headings") + F.size("body")
-
-    def tag(i: int):
-        return lambda w: F.struct(w.alias("term"), F.lit(i).alias("c"))
-
-    tagged = tokens.select("key", dl.alias("dl"), F.explode(F.concat(*(F.transform(c, tag(i)) for i, c in enumerate(COLUMNS)))).alias("x"))
-    counts = [F.count(F.when(F.col("x.c") == i, 1)).alias(f"tf_{c}") for i, c in enumerate(COLUMNS)]
-    postings = tagged.groupBy("key", F.col("x.term").alias("term")).agg(F.first("dl").alias("dl"), *counts)
+    postings = tokens.mapInArrow(_counted, "key string, term string, dl int, " + ", ".join(f"tf_{c} long" for c in COLUMNS))
     if keep:
         postings = materialise(postings, "postings")
     sizes = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("mean")).first()
     return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), tokens, sizes["n"], float(sizes["mean"] or 0.0))
 
 
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term, dl, tf_...) of batches of (key, tokens of each column): the tokens of a batch become numbers, and their counts one sort."""
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        lists = [batch.column(c) for c in COLUMNS]
+        sizes = [np.diff(np.asarray(x.offsets)).astype(np.int64) for x in lists]
+        words = pc.dictionary_encode(pa.chunked_array([x.flatten() for x in lists]).combine_chunks())
+        if not len(words):
+            continue
+        row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+        column = np.repeat(np.arange(len(COLUMNS)), [int(n.sum()) for n in sizes])
+        pair = row * len(words.dictionary) + words.indices.to_numpy()
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0])
+        counts = [np.add.reduceat((column[order] == i).astype(np.int64), first) for i in range(len(COLUMNS))]
+        at = row[order][first]
+        terms = words.dictionary.take(pa.array(words.indices.to_numpy()[order][first]))
+        for a in range(0, len(at), 100_000):
+            some = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(at[some])), terms[some], pa.array(sum(sizes)[at[some]].astype(np.int32)), *(pa.array(c[some]) for c in counts)], ["key", "term", "dl", *(f"tf_{c}" for c in COLUMNS)]
+            )
+
+
 def query_units(queries: DataFrame) -> DataFrame:
     """(query_id, unit): what each of ``queries(query_id, query)`` asks the index for, a unit being one or more adjacent terms.
 
@@ -152,11 +176,11 @@ def lexical_lane(index: LexicalIndex, docs: DataFrame, queries: DataFrame, limit
 def calibrate(index: LexicalIndex, docs: DataFrame, sample: int = 400, order: str = "path") -> DataFrame:
     """(query_id, score): the best score of each sampled document's own title, 0 where it finds nothing; titles without tokens are left out.
 
-    Every ``n // sample``-th document by ``order``, at most ``sample``.
+    Every ``n // sample``-th document by ``order``, at most ``sample``. Documents are numbered range by range, in no single task.
     """
     step = max(1, index.n // sample)
-    numbered = docs.select("path", "title").withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
-    titles = numbered.where((F.col("i") % step == 0) & (F.col("i") < step * sample)).select(F.col("path").alias("query_id"), F.col("title").alias("query"))
+    numbered = group_positions(docs.select("path", "title", F.col(order).alias("_order"), F.lit(0).alias("_one")), "_one", ["_order"], "i")
+    titles = numbered.where(((F.col("i") - 1) % step == 0) & (F.col("i") <= step * sample)).select(F.col("path").alias("query_id"), F.col("title").alias("query"))
     titles = titles.where(F.size(t.query_tokens(F.col("query"))) > 0)
     best = bm25(index, titles, 1).select("query_id", "score")
     return titles.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))

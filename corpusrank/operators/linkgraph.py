@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusrank.functions import text as t
-from corpusrank.shared import spread
+from corpusrank.operators.skew import group_positions, join_statistics
+from corpusrank.shared import materialise, spread
 
 # Signal weights, edge limits and pruning of the two graphs.
 DIRECT_LINK, SHARED_SOURCE, COMMON_NEIGHBOUR, SAME_TYPE = 3.0, 4.0, 1.5, 1.0
@@ -60,16 +61,22 @@ def degrees(edges: DataFrame) -> DataFrame:
 def relevance(docs: DataFrame, pairs: DataFrame, edges: DataFrame, naming: Naming = Naming()) -> DataFrame:
     """(src, dst, weight) of each of ``pairs(src, dst)``, by direct link, any shared source, common neighbours (Adamic-Adar) and type.
 
-    Common neighbours are counted for the given pairs only: pair -> neighbours of src -> is it one of dst.
+    Common neighbours are counted for the given pairs only: pair -> neighbours of its end with fewer -> is it one of the other end. So a hub's
+    neighbours are only gone through for a pair of hubs. Degrees are joined with hubs split.
     """
-    pairs = pairs.where("src <> dst").distinct()
+    pairs, edges = materialise(pairs.where("src <> dst").distinct(), "pairs"), materialise(edges.select("src", "dst"), "links")
     direct = edges.select("src", "dst", F.lit(DIRECT_LINK).alias("weight")).join(pairs, ["src", "dst"], "left_semi")
     sources = source_pages(docs, naming)
     shared = pairs.join(sources.select(F.col("key").alias("src"), "source"), "src").join(sources.select(F.col("key").alias("dst"), "source"), ["dst", "source"])
     shared = shared.select("src", "dst").distinct().select("src", "dst", F.lit(SHARED_SOURCE).alias("weight"))
-    deg = degrees(edges).select(F.col("node").alias("mid"), (F.lit(COMMON_NEIGHBOUR) / F.log(F.greatest(F.col("degree"), F.lit(2)))).alias("weight"))
-    common = pairs.join(edges.select("src", F.col("dst").alias("mid")), "src").join(edges.select(F.col("src").alias("mid"), "dst"), ["mid", "dst"])
-    common = common.join(deg, "mid").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    deg = materialise(degrees(edges), "degrees")
+    weighed = join_statistics(edges.select(F.col("src").alias("low"), F.col("dst").alias("node")), deg, "node", "degree", F.col("low"))
+    weighed = weighed.select("low", F.col("node").alias("mid"), (F.lit(COMMON_NEIGHBOUR) / F.log(F.greatest(F.col("degree"), F.lit(2)))).alias("weight"))
+    ends = join_statistics(pairs.select(F.col("src").alias("node"), "dst"), deg, "node", "degree", F.col("dst")).select(F.col("node").alias("src"), F.col("dst").alias("node"), F.col("degree").alias("of_src"))
+    ends = join_statistics(ends, deg, "node", "degree", F.col("src")).select("src", F.col("node").alias("dst"), (F.col("of_src") <= F.col("degree")).alias("first"))
+    sides = ends.select("src", "dst", F.when(F.col("first"), F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(F.col("first"), F.col("dst")).otherwise(F.col("src")).alias("high"))
+    common = sides.join(weighed, "low").join(edges.select(F.col("src").alias("mid"), F.col("dst").alias("high")), ["mid", "high"])
+    common = common.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     kinds = docs.where(naming.is_page()).select(naming.key().alias("k"), "page_type").where("page_type <> ''")
     same = pairs.join(kinds.toDF("src", "a"), "src").join(kinds.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.lit(SAME_TYPE).alias("weight"))
     signals = direct.unionByName(shared).unionByName(common.select("src", "dst", "weight")).unionByName(same)
@@ -126,9 +133,10 @@ def with_definitions(mentions: DataFrame, docs: DataFrame, naming: Naming = Nami
 
 def hubs(mentions: DataFrame, documents: int) -> DataFrame:
     """(entity): the top 1 % by number of documents, and all in more than half of the documents (and more than two)."""
-    df = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("df"))
+    df = materialise(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("df")), "df")
     cut = int(df.count() * HUB_FRACTION)
-    most = df.orderBy(F.desc("df"), "entity").limit(cut).select("entity")
+    placed = group_positions(df.select("entity", (-F.col("df")).alias("_less"), F.lit(0).alias("_one")), "_one", ["_less", "entity"], "_at")
+    most = placed.where(F.col("_at") <= cut).select("entity")
     return most.unionAll(df.where(F.col("df") > max(2, int(documents * HUB_SHARE))).select("entity")).distinct()
 
 

@@ -33,7 +33,7 @@ def group_positions(df: DataFrame, group: str, order: list[str], name: str, coun
     counts = spread.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     several = Window.partitionBy(group)
     counts = counts.withColumn("_of", F.count(F.lit(1)).over(several)).where("_of > 1")
-    before = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), (F.sum("_n").over(several.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(several).alias("_all"))
+    before = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), (F.sum("_n").over(several.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(several).alias("_total"))
     here = Window.partitionBy("_range", group)
     numbered = spread.withColumn("_at", F.row_number().over(here.orderBy(*order)))
     if count:
@@ -41,8 +41,8 @@ def group_positions(df: DataFrame, group: str, order: list[str], name: str, coun
     joined = numbered.join(F.broadcast(before), (F.col(group) == F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
     joined = joined.withColumn(name, (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("long"))
     if count:
-        joined = joined.withColumn(count, F.coalesce("_all", "_here"))
-    return joined.drop("_range", "_at", "_here", "_g", "_r", "_before", "_all")
+        joined = joined.withColumn(count, F.coalesce("_total", "_here"))
+    return joined.drop("_range", "_at", "_here", "_g", "_r", "_before", "_total")
 
 
 def numbered_copies(df: DataFrame, name: str, at_once: int = 4096) -> DataFrame:

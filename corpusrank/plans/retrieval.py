@@ -45,13 +45,15 @@ def asked_of(spark: SparkSession, d: str) -> DataFrame:
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     """The newest version of each chunk, with a vector of as many numbers as it says."""
     whole = table(spark, d, "chunks").where("vector is not null and size(vector) = dims")
-    newest = whole.groupBy("page_id", "chunk_index").agg(F.max(F.struct("id", "heading_path", "text", "vector")).alias("x"))
-    return newest.select("page_id", "chunk_index", "x.*")
+    newest = whole.groupBy("page_id", "chunk_index").agg(F.max("id").alias("id")).select("id")
+    return whole.join(newest, "id", "left_semi").select("page_id", "chunk_index", "id", "heading_path", "text", "vector")
 
 
 def mentions_of(spark: SparkSession, d: str) -> DataFrame:
     """(entity, key, tf) with deliveries counted once and paths in one spelling."""
-    once = table(spark, d, "mentions").dropDuplicates(["mention_id"]).where("tf > 0 and entity is not null and doc_path is not null")
+    rows = table(spark, d, "mentions").select("mention_id", "entity", "doc_path", "tf")
+    once = rows.where("mention_id is not null").dropDuplicates(["mention_id"]).unionAll(rows.where("mention_id is null"))
+    once = once.where("tf > 0 and entity is not null and doc_path is not null")
     same = lambda c: F.concat(F.regexp_replace(F.lower(F.trim(t.normal_path(F.col(c)))), r"\.md$", ""), F.lit(".md"))
     return once.groupBy(same("entity").alias("entity"), F.col("doc_path").alias("key")).agg(F.sum("tf").alias("tf"))
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from corpusrank.functions import formats
 from corpusrank.functions import text as t
+from corpusrank.shared import path_exists
 
 # Pages that are no content, and the folders and files a corpus begins with.
 NOT_CONTENT = ("wiki/index.md", "wiki/log.md", "wiki/reviews.md")
 FOLDERS = ("wiki/concepts", "wiki/entities", "wiki/sources", "raw/sources")
-MOST_FILES = 10_000
 
 
 def _files(spark: SparkSession, root: str, below: str, pattern: str | None) -> DataFrame:
@@ -28,14 +28,22 @@ def _files(spark: SparkSession, root: str, below: str, pattern: str | None) -> D
     return found.where(~F.col("path").rlike(r"(^|/)\."))
 
 
-def wiki_pages(spark: SparkSession, root: str, most: int = MOST_FILES) -> DataFrame:
-    """The first ``most`` Markdown files of the wiki by path."""
-    return _files(spark, root, "wiki", "*.md").orderBy("path").limit(most)
+def _first(files: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` files by path, or all. Only paths are sorted; contents are read where they are."""
+    if most is None:
+        return files
+    first = files.select(F.col("path").alias("_path")).orderBy("_path").limit(most)
+    return files.join(first, files["path"] == first["_path"], "left_semi")
 
 
-def source_files(spark: SparkSession, root: str, most: int = MOST_FILES) -> DataFrame:
-    """The first ``most`` raw sources by path."""
-    return _files(spark, root, "raw/sources", None).orderBy("path").limit(most)
+def wiki_pages(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """The Markdown files of the wiki, or the first ``most`` by path."""
+    return _first(_files(spark, root, "wiki", "*.md"), most)
+
+
+def source_files(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """The raw sources, or the first ``most`` by path."""
+    return _first(_files(spark, root, "raw/sources", None), most)
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
@@ -59,13 +67,14 @@ def source_documents(files: DataFrame) -> DataFrame:
     return read.select("path", t.file_name(F.col("path")).alias("title"), F.col("text").alias("content"), F.lit("source").alias("kind"), none.alias("links"), none.alias("sources"), F.lit("").alias("page_type"))
 
 
-def load_documents(spark: SparkSession, root: str, include_sources: bool = True, most: int = MOST_FILES) -> DataFrame:
-    """All documents of a corpus; sources fill what pages leave of ``most``."""
+def load_documents(spark: SparkSession, root: str, include_sources: bool = True, most: int | None = None) -> DataFrame:
+    """All documents of a corpus. With ``most``: the first so many pages, and sources as far as pages leave room."""
     pages = wiki_pages(spark, root, most)
     utf8 = pages.withColumn("content", F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8")))
     docs = page_documents(utf8)
-    if include_sources and Path(f"{root}/raw/sources").exists():
-        docs = docs.unionByName(source_documents(source_files(spark, root, max(0, most - docs.count())).select("path", "content")))
+    if include_sources and path_exists(spark, f"{root}/raw/sources"):
+        left = None if most is None else max(0, most - docs.count())
+        docs = docs.unionByName(source_documents(source_files(spark, root, left).select("path", "content")))
     return docs
 
 

@@ -149,3 +149,12 @@ def test_counts_and_copies_of_hot_groups(spark):
     assert copies.count() == 5003 and copies.distinct().count() == 5003
     got = copies.groupBy("g", "v").agg(F.max("copy").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     assert all(r["m"] + 1 == r["n"] for r in got)
+
+
+@pytest.mark.parametrize("tolerance", [0, 1e-3])
+def test_both_ways_of_walking_stop_each_query_alike(spark, tolerance):
+    edges = [(f"n{i}", f"n{(i * 7 + k) % 40}", 1.0 + k) for i in range(40) for k in range(3)] + [("a", "b", 1.0), ("b", "a", 1.0)]
+    moves = linkgraph.transitions(spark.createDataFrame(edges, "src string, dst string, weight double"))
+    seeds = spark.createDataFrame([(1, "n1", 1.0), (1, "n9", 0.5), (2, "a", 1.0), (3, "nowhere", 1.0), (4, "n3", 1.0)], "query_id int, node string, mass double")
+    walked = [{(r["query_id"], r["node"]): r["mass"] for r in diffusion.pagerank(seeds, moves, rounds=12, tolerance=tolerance, kernel_rows=n).collect()} for n in (10**6, 0)]
+    assert walked[0].keys() == walked[1].keys() and all(walked[1][k] == pytest.approx(m, abs=1e-12) for k, m in walked[0].items())
