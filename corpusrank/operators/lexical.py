@@ -34,14 +34,15 @@ class LexicalIndex:
     mean_length: float
 
 
-def index_documents(docs: DataFrame, keep: bool = True) -> LexicalIndex:
-    """The index of ``docs(path, title, content)``; nulls count as empty. ``keep`` writes the tables to the shared folder once.
+def index_documents(docs: DataFrame, keep: bool = True, title_field: Column | None = None) -> LexicalIndex:
+    """The index of ``docs(path, title, content)``; nulls count as empty. ``keep`` writes the tables to the shared folder once. ``title_field``: what
+    the title column holds, by default the title and the words of the file's name.
 
     Tokens are counted within each document where they are (``_counted``), so only document frequencies are shuffled.
     """
     tokens = spread(docs.select("path", "title", "content")).select(
         F.col("path").alias("key"),
-        t.index_terms(t.search_title(F.col("title"), F.col("path"))).alias("title"),
+        t.index_terms(title_field if title_field is not None else t.search_title(F.col("title"), F.col("path"))).alias("title"),
         t.index_terms(t.heading_lines(F.col("content"))).alias("headings"),
         t.index_terms(F.col("content")).alias("body"),
     )
@@ -52,7 +53,8 @@ def index_documents(docs: DataFrame, keep: bool = True) -> LexicalIndex:
     if keep:
         postings = materialise(postings, "postings")
     sizes = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("mean")).first()
-    return LexicalIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), tokens, sizes["n"], float(sizes["mean"] or 0.0))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return LexicalIndex(postings, materialise(terms, "terms") if keep else terms, tokens, sizes["n"], float(sizes["mean"] or 0.0))
 
 
 def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,7 +186,7 @@ def ask(spark: SparkSession, searched: ladder.Corpus, question: str, complete: C
     if log:
         lane = found.lanes.first()
         rows = cited.orderBy("number").collect()
-        note = oplog.append(spark, log, [{"query": question, "raw_query": question, "profile": "balanced", "lanes": {"mode": lane["mode"] if lane else "keyword"}, "gate_fired": bool(lane and lane["abstained"]), "retrieved": [r["path"] for r in rows], "cited": [r["path"] for r in rows if r["cited"]] if blocks else None, "query_vector": vector}])
+        note = oplog.append(spark, log, [{"query": question, "raw_query": question, "profile": "balanced", "lanes": {"mode": lane["mode"] if lane else "keyword", **found.stages.outcomes}, "stage_ms": found.stages.times, "gate_fired": bool(lane and lane["abstained"]), "retrieved": [r["path"] for r in rows], "cited": [r["path"] for r in rows if r["cited"]] if blocks else None, "query_vector": vector}])
     return answer, cited, note
 
 

@@ -14,7 +14,7 @@ from corpusrank.functions import text as t
 from corpusrank.operators import checks, context, diffusion, fusion, lexical, linkgraph, metrics, oplog, vectors
 from corpusrank.plans import ladder
 from corpusrank.plans.profiles import Options
-from corpusrank.shared import materialise, table
+from corpusrank.shared import materialise, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,7 +44,7 @@ def asked_of(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     """The newest version of each chunk, with a vector of as many numbers as it says."""
-    whole = table(spark, d, "chunks").where("vector is not null and size(vector) = dims")
+    whole = spread(table(spark, d, "chunks")).where("vector is not null and size(vector) = dims")
     newest = whole.groupBy("page_id", "chunk_index").agg(F.max("id").alias("id")).select("id")
     return whole.join(newest, "id", "left_semi").select("page_id", "chunk_index", "id", "heading_path", "text", "vector")
 
@@ -730,7 +730,12 @@ walk AS (
 def b4_citations(spark, d):
     """Answers that cite what the log says was cited, read back."""
     log = log_of(spark, d).where("cited is not null")
-    said = log.select(F.col("id").alias("query_id"), F.concat(F.lit("So it is "), F.array_join(F.transform("cited", lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"))), " ")).alias("answer"))
+    # each alone, then all in one pair of brackets, then the first and the last once more
+    numbers = F.transform("cited", lambda p, i: (i + 1).cast("string"))
+    alone = F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("["), n, F.lit("]"))), " ")
+    together = F.when(F.size("cited") > 0, F.concat(F.lit(" or ["), F.array_join(numbers, ", "), F.lit("], [1 ,"), F.size("cited").cast("string"), F.lit("] [x]"))).otherwise(" [] [a]")
+    odd = F.col("id") % 2 == 1
+    said = log.select(F.col("id").alias("query_id"), F.concat(F.lit("So it is "), F.when(odd, alone).otherwise(""), together).alias("answer"))
     return said.select("query_id", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), "|").alias("numbers"))
 
 
@@ -812,4 +817,24 @@ def k1_conformance(spark, d):
     return checks.conformance(docs_of(spark, d), materialise(_merged(spark, d), "edges"))
 
 
-SQL["k1_conformance"] = """SELECT check_ AS "check", CAST(0 AS BIGINT) AS violations FROM (VALUES ('keys are not empty'), ('keys are unique'), ('edges have ends'), ('edges lead elsewhere'), ('weights are finite'), ('weights are positive'), ('edges are unique'), ('edges go both ways'), ('rows sum to 1 at self weight 0'), ('rows sum to 1 at self weight 0.15'), ('nodes keep a self edge')) v(check_)"""
+def _sums(self_weight: float) -> str:
+    """Rows whose transitions do not sum to 1, by SQL."""
+    return f"(SELECT count(*) FROM (SELECT src, sum(p) AS p FROM (SELECT src, weight / (total * {1 + self_weight}) AS p FROM merged JOIN totals USING (src) UNION ALL SELECT src, {self_weight} / {1 + self_weight} FROM totals WHERE {self_weight} > 0) GROUP BY src) WHERE abs(p - 1) > 1e-6)"
+
+
+SQL["k1_conformance"] = f"""WITH {_GRAPH}, totals AS (SELECT src, sum(weight) AS total FROM merged GROUP BY src HAVING sum(weight) > 0)
+SELECT 'keys are not empty' AS "check", count(*) AS violations FROM wiki_docs WHERE path IS NULL OR trim(path) = ''
+UNION ALL SELECT 'keys are unique', count(*) FROM (SELECT path FROM wiki_docs GROUP BY path HAVING count(*) > 1)
+UNION ALL SELECT 'edges have ends', count(*) FROM merged WHERE src IS NULL OR dst IS NULL
+UNION ALL SELECT 'edges lead elsewhere', count(*) FROM merged WHERE src = dst
+UNION ALL SELECT 'weights are finite', count(*) FROM merged WHERE weight IS NULL OR NOT isfinite(weight)
+UNION ALL SELECT 'weights are positive', count(*) FROM merged WHERE isfinite(weight) AND weight <= 0
+UNION ALL SELECT 'edges are unique', count(*) FROM (SELECT src, dst FROM merged GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'edges go both ways', count(*) FROM merged m WHERE NOT EXISTS (SELECT 1 FROM merged b WHERE b.src = m.dst AND b.dst = m.src)
+UNION ALL SELECT 'rows sum to 1 at self weight 0', {_sums(0)}
+UNION ALL SELECT 'rows sum to 1 at self weight 0.15', {_sums(0.15)}
+UNION ALL SELECT 'nodes keep a self edge', (SELECT count(*) FROM totals WHERE src IS NULL)"""
+
+SQL["m4_recall_in_context"] = f"""WITH RECURSIVE {SQL["b3_packed_context"].removeprefix("WITH RECURSIVE ").rsplit(") SELECT", 1)[0]}), gold AS (SELECT DISTINCT id AS query_id, unnest(cited) AS key FROM (SELECT DISTINCT ON (id) id, cited FROM query_log)),
+packed AS (SELECT DISTINCT query_id, path AS key, 1 AS inside FROM walk WHERE took)
+SELECT query_id, round(count(inside) / count(*), 6) AS recall FROM gold LEFT JOIN packed USING (query_id, key) GROUP BY query_id"""

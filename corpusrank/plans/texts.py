@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusrank.functions import formats, generated, markdown
 from corpusrank.functions import text as t
 from corpusrank.operators import fusion, vectors
+from corpusrank.plans import ingest
 from corpusrank.plans.retrieval import _ASKED, _HEADS, _NAME, _QTOKENS, _STEM_OF, _SUBSTRING, asked_of, docs_of, log_of
 from corpusrank.shared import table
 from corpusrank.sources import corpus
@@ -45,10 +46,11 @@ SQL["io3_page_documents"] = f"SELECT path, {_TITLE} AS title, len({_LINKLIST}) A
 @query
 def io10_fingerprint(spark, d):
     files = docs_of(spark, d).select("path", F.length("content").alias("length"), F.lit("2031-01-01").alias("modified"))
-    return corpus.fingerprint(files).select(F.substring_index("fingerprint", "|", 1).alias("files"), F.length("fingerprint").alias("size"))
+    return corpus.fingerprint(files)
 
 
-SQL["io10_fingerprint"] = "SELECT CAST(count(*) AS VARCHAR) AS files, length(CAST(count(*) AS VARCHAR)) + 17 AS size FROM wiki_docs"
+_SLICES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+SQL["io10_fingerprint"] = f"SELECT n || '|' || substr(sha256(sums), 1, 16) AS fingerprint FROM (SELECT CAST(count(*) AS VARCHAR) AS n, concat_ws('-', {_SLICES}) AS sums FROM (SELECT sha256(path || ':' || CAST(length(content) AS VARCHAR) || ':2031-01-01') AS h FROM wiki_docs))"
 
 
 @query
@@ -238,11 +240,16 @@ def c3_sections(spark, d):
 @query
 def p21_generated_blocks(spark, d):
     """Every page as a model would hand it over, read back."""
-    docs = docs_of(spark, d).select(F.col("path").alias("id"), F.concat(F.lit("---FILE: "), "path", F.lit("---\n"), "content", F.lit("\n---END FILE---\n")).alias("text"))
-    return generated.generated_table(docs).select("id", F.size("files").alias("files"), F.size("warnings").alias("warnings"), F.size("truncated").alias("truncated"))
+    # by the length of its path: whole, with a path that leads out, or broken off
+    kind = F.length("path") % 3
+    path = F.when(kind == 1, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
+    text = F.concat(F.lit("---FILE: "), path, F.lit("---\n"), F.regexp_replace("content", "[`~]", "'"), F.when(kind == 2, "\n").otherwise("\n---END FILE---\n"))
+    docs = docs_of(spark, d).where("kind = 'wiki'").select(F.col("path").alias("id"), text.alias("text"))
+    return generated.generated_table(docs).select("id", F.size("files").alias("files"), F.size("truncated").alias("truncated"))
 
 
 QUERIES["n5_generated_blocks"] = QUERIES.pop("p21_generated_blocks")
+SQL["n5_generated_blocks"] = "SELECT path AS id, CAST(length(path) % 3 = 0 AS INT) AS files, CAST(length(path) % 3 = 2 AS INT) AS truncated FROM wiki_docs WHERE kind = 'wiki'"
 
 
 @query
@@ -251,7 +258,9 @@ def n6_index_additions(spark, d):
     docs = docs_of(spark, d).where("kind = 'wiki'")
     linked = docs.select(F.explode(t.wikilinks(F.col("content"))).alias("l")).select(t.alias(F.col("l")).alias("target")).distinct()
     new = docs.select("path", "title", t.alias(F.regexp_replace("path", "^wiki/", "")).alias("target")).join(linked, "target", "left_anti")
-    return new.orderBy("path").limit(200).select(F.concat(F.lit("- [["), "target", F.lit("]] — "), "title").alias("line"))
+    first = [(r["target"], r["title"]) for r in new.orderBy("path").limit(200).select("target", "title").collect()]  # as many as an index lists
+    lines = ingest.updated_index("# Wiki Index\n", first).split(ingest.RECENT)[-1].strip("\n").split("\n") if first else []
+    return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
 SQL["n6_index_additions"] = rf"""WITH page AS (SELECT * FROM wiki_docs WHERE kind = 'wiki'), linked AS (SELECT DISTINCT lower(replace(regexp_replace(replace(trim(l), '\', '/'), '(?i)\.md$', ''), ' ', '-')) AS target FROM (SELECT unnest({_LINKLIST}) AS l FROM page)),
