@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusrank.llm import markup, mixing, neardup, neighbours, packing, ranking, repetition, terms, tokens
+from corpusrank.operators.skew import join_statistics
 from corpusrank.shared import materialise, table
 
 CAPACITY = 4096
@@ -23,7 +24,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    parts = [neardup.duplicate_groups(df, "key", "text").select(F.lit(o).alias("origin"), "key", "class_id", "group_id", "n_links") for o, df in _collections(spark, d)]
+    """One row a record: the least keys of its class and of its group, and how many other classes its class is linked to."""
+    parts = []
+    for origin, df in _collections(spark, d):
+        groups = materialise(neardup.duplicate_groups(df, "key", "text").where("key is not null"), "groups")
+        classes = materialise(groups.groupBy("class_id").agg(F.min("key").alias("class_key"), F.count(F.lit(1)).alias("n"), F.min("group_id").alias("of")), "classes")
+        least = classes.groupBy(F.col("of")).agg(F.min("class_key").alias("group_key"))
+        classes = materialise(classes.join(least, "of").drop("of"), "classes")
+        named = join_statistics(groups, classes, "class_id", "n", F.col("key"))
+        parts.append(named.select(F.lit(origin).alias("origin"), "key", "class_key", "group_key", "n_links"))
     return parts[0].unionAll(parts[1])
 
 
@@ -214,6 +223,22 @@ shared AS (
 )
 SELECT origin, key_a, key_b FROM shared WHERE 2 * o >= na + nb - o"""
 
+_GRAMS = "list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))"
+_GROUPS = f"""
+WITH RECURSIVE texts AS (
+  SELECT 'document' AS origin, path AS key, {_WORDS.format("content")} AS w FROM wiki_docs
+  UNION ALL SELECT 'chunk', CAST(id AS VARCHAR), {_WORDS.format("text")} FROM chunks
+), sets AS (SELECT origin, key, {_GRAMS} AS s FROM texts WHERE len(w) >= 5 AND key IS NOT NULL),
+class AS (SELECT origin, s, min(key) AS class_key FROM sets GROUP BY ALL),
+rows_ AS (SELECT origin, class_key, len(s) AS n, unnest(s) AS g FROM class),
+shared AS (SELECT a.origin, a.class_key AS a, b.class_key AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM rows_ a JOIN rows_ b ON a.origin = b.origin AND a.g = b.g AND a.class_key < b.class_key GROUP BY ALL),
+link AS (SELECT origin, a, b FROM shared WHERE 5 * o >= 4 * (na + nb - o)),
+ways AS (SELECT origin, a, b FROM link UNION ALL SELECT origin, b, a FROM link),
+reached AS (SELECT origin, class_key AS a, class_key AS root FROM class UNION SELECT r.origin, w.b, r.root FROM reached r JOIN ways w ON w.origin = r.origin AND w.a = r.a),
+groups_ AS (SELECT origin, a AS class_key, min(root) AS group_key FROM reached GROUP BY ALL),
+links AS (SELECT origin, a AS class_key, count(*) AS n FROM ways GROUP BY ALL)
+SELECT origin, key, class_key, group_key, coalesce(n, 0) AS n_links FROM sets JOIN class USING (origin, s) JOIN groups_ USING (origin, class_key) LEFT JOIN links USING (origin, class_key)"""
+
 _TERMS = f"""
 WITH words AS (SELECT path, unnest(list_concat({_LETTERS.format("coalesce(title, '')")}, {_LETTERS.format("coalesce(content, '')")})) AS term FROM wiki_docs),
 each_ AS (SELECT path, term, count(*) AS tf FROM words GROUP BY ALL),
@@ -257,6 +282,7 @@ far AS (SELECT origin, group_id, item, sqrt((hx - x) * (hx - x) + (hy - y) * (hy
 
 SQL = {
     "p2_found": _PAIRS,
+    "p2_groups": _GROUPS,
     "p3_found": _SCORES + "\nSELECT origin, doc_path, term FROM scored WHERE tf >= 4 AND df BETWEEN 2 AND 5",
     "p3_scores": _SCORES + "\nSELECT origin, doc_path, term, tf, df, round(score, 6) AS score FROM scored",
     "p5_found": _RANKS
