@@ -245,12 +245,82 @@ def test_cli(tmp_path, capsys):
 
     assert cli.main(["--root", str(tmp_path / "c"), "init"]) == 0 and Path(tmp_path, "c/wiki/index.md").exists()
     assert cli.main(["--root", "/", "status"]) == 1
+    assert cli.main(["--root", str(tmp_path / "c"), "add", "x.txt", "--model", "no.such:model"]) == 1
     with pytest.raises(SystemExit) as e:
         cli.main(["nonsense"])
     assert e.value.code == 2
     assert json.dumps(capsys.readouterr().out)
 
 
+@pytest.fixture
+def small(spark, docs):
+    pages = docs(("wiki/a.md", "Bridge", "a bridge spans the river [[b]]"), ("wiki/b.md", "River", "the river flows"), ("wiki/c.md", "Cloud", "clouds rain"))
+    chunks = spark.createDataFrame([("wiki/c.md", 0, "", "clouds", [1.0, 0.0])], "page_id string, chunk_index int, heading_path string, text string, vector array<float>")
+    return ladder.build(pages, chunks), spark.createDataFrame([(1, "bridge", [1.0, 0.1])], "query_id int, query string, vector array<float>")
+
+
+@pytest.mark.parametrize(
+    ("total_ms", "clock", "outcomes"),
+    [
+        (None, lambda: 0.0, {"words": "ran", "vectors": "ran", "graph": "ran"}),
+        (5000, lambda: 0.0, {"words": "ran", "vectors": "ran", "graph": "ran"}),
+        (1000, lambda: 0.0, {"words": "ran", "vectors": "skipped", "graph": "ran"}),  # embedding may take three seconds
+        (400, None, {"words": "ran", "vectors": "expired", "graph": "expired"}),  # every look at the clock costs 300 ms
+    ],
+)
+def test_lanes_are_left_out_when_their_time_is_not_left(small, total_ms, clock, outcomes):
+    searched, asked = small
+    tick = iter(x * 0.3 for x in range(1000))
+    heard = []
+    found = ladder.search(searched, asked, 5, budget=profiles.Budget(total_ms) if total_ms else None, sink=lambda n, ms: heard.append(n) or 1 / 0, clock=clock or (lambda: next(tick)))
+    assert {n: found.stages.outcomes[n] for n in outcomes} == outcomes and set(heard) == set(found.stages.times) == {n for n, o in outcomes.items() if o == "ran"}
+    keys = {r["path"] for r in found.results.collect()}
+    assert "wiki/a.md" in keys and ("wiki/c.md" in keys) == (outcomes["vectors"] == "ran")
+    assert found.lanes.first()["mode"] == ("hybrid" if outcomes["vectors"] == "ran" else "keyword")
+
+
+def test_lanes_may_be_replaced(spark, small):
+    searched, asked = small
+    words = lambda queries, depth: queries.selectExpr("query_id", "'wiki/b.md' key", "2.0D score", "1 rank", "'x' extra")
+    embed = lambda queries: queries.selectExpr("query_id", "array(1.0f, 0.0f) vector")
+    options = profiles.Options(graph_ppr=False, lexical_gate=False)
+    found = ladder.search(searched, asked.withColumn("vector", F.lit(None).cast("array<float>")), 5, options, searchers=ladder.Searchers(words=words, embed=embed))
+    assert [r["path"] for r in found.results.orderBy("rank").collect()] == ["wiki/b.md", "wiki/c.md"] and found.stages.outcomes["graph"] == "off"
+    near = lambda queries, k: queries.selectExpr("query_id", "'wiki/a.md' key", "0.9D score", "1 rank")
+    found = ladder.search(searched, asked, 5, options, searchers=ladder.Searchers(near=near))
+    assert {r["path"] for r in found.results.collect()} == {"wiki/a.md"}
+
+    def broken(queries, depth):
+        raise OSError
+
+    with pytest.raises(OSError):
+        ladder.search(searched, asked, 5, options, searchers=ladder.Searchers(words=broken))
+
+
+def test_naming_decides_what_the_title_field_holds(spark, docs):
+    from corpusrank.operators import lexical, linkgraph
+
+    d = docs(("a1b2_note.md", "Bridge", "text"), ("c3_other.md", "Other", "text"))
+    bare = linkgraph.Naming(title_field=lambda: F.col("title"))
+    ask = spark.createDataFrame([(1, "a1b2")], "query_id int, query string")
+    assert lexical.bm25(ladder.build(d).index, ask).count() == 1 and lexical.bm25(ladder.build(d, naming=bare).index, ask).count() == 0
+
+
+def test_embedding_again_from_the_command_line(tmp_path, capsys):
+    from corpusrank import cli
+
+    root = corpus.create(str(tmp_path / "c"))
+    corpus.write_page(str(root), "wiki/concepts/a.md", "---\ntitle: A\n---\nSome words.")
+    for n in (1, 0):
+        assert cli.main(["--root", str(root), "embed", str(tmp_path / "store")]) == 0
+        assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["embedded"] == n
+    corpus.write_page(str(root), "wiki/concepts/b.md", "Other words.")
+    assert cli.main(["--root", str(root), "embed", str(tmp_path / "store")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["embedded"] == 1
+    assert cli.main(["--root", str(root), "ask", "words", "--json", "--model", "tests.test_plans:model"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["answer"] == "A bridge spans it [1]."
+
+
 def test_results_run_production_rounds(spark, monkeypatch):
     from corpusrank.operators import diffusion
     from corpusrank.plans import retrieval
