@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from corpusrank.functions import text as t
 from corpusrank.operators import checks, context, diffusion, fusion, lexical, linkgraph, metrics, oplog, vectors
 from corpusrank.plans import ladder
-from corpusrank.plans.profiles import Options
 from corpusrank.shared import materialise, spread, table
 
 QUERIES: dict = {}
@@ -558,23 +557,25 @@ def f3_seed_masses(spark, d):
 
 SQL["f3_seed_masses"] = f"WITH {_FUSED} SELECT query_id, key AS node, round(CASE WHEN frank <= 10 THEN 1.0 / frank ELSE 0.1 / frank END, 6) AS mass FROM fused"
 
-_ROUNDS = 10
+_ROUNDS = diffusion.ROUNDS
 
 
 def _walk_sql(seeds: str) -> str:
-    """``_ROUNDS`` rounds from ``seeds(query_id, node, mass)`` over ``moves``, unrolled."""
-    out = [f"restart AS (SELECT query_id, node, mass / sum(mass) OVER (PARTITION BY query_id) AS r FROM {seeds}), m0 AS (SELECT query_id, node, r AS mass FROM restart)"]
+    """``_ROUNDS`` rounds from ``seeds(query_id, node, mass)`` over ``moves``, unrolled; a query that moved by less than the tolerance stays as it is."""
+    out = [f"restart AS (SELECT query_id, node, mass / sum(mass) OVER (PARTITION BY query_id) AS r FROM {seeds}), m0 AS (SELECT query_id, node, r AS mass FROM restart), live0 AS (SELECT DISTINCT query_id FROM m0)"]
     for i in range(_ROUNDS):
-        out.append(f"""m{i + 1} AS MATERIALIZED (SELECT query_id, node, sum(mass) AS mass FROM (
-  SELECT m.query_id, t.dst AS node, 0.85 * m.mass * t.p AS mass FROM m{i} m JOIN moves t ON t.src = m.node
-  UNION ALL SELECT r.query_id, r.node, (0.15 + 0.85 * coalesce(s.stuck, 0)) * r.r FROM restart r LEFT JOIN (SELECT query_id, sum(mass) AS stuck FROM m{i} WHERE node NOT IN (SELECT src FROM moves) GROUP BY query_id) s USING (query_id)
-) GROUP BY query_id, node)""")
+        out.append(f"""n{i + 1} AS MATERIALIZED (SELECT query_id, node, sum(mass) AS mass FROM (
+  SELECT m.query_id, t.dst AS node, 0.85 * m.mass * t.p AS mass FROM m{i} m JOIN live{i} USING (query_id) JOIN moves t ON t.src = m.node
+  UNION ALL SELECT r.query_id, r.node, (0.15 + 0.85 * coalesce(s.stuck, 0)) * r.r FROM restart r JOIN live{i} USING (query_id) LEFT JOIN (SELECT query_id, sum(mass) AS stuck FROM m{i} WHERE node NOT IN (SELECT src FROM moves) GROUP BY query_id) s USING (query_id)
+) GROUP BY query_id, node),
+live{i + 1} AS MATERIALIZED (SELECT query_id FROM (SELECT query_id, sum(mass) AS moved FROM (SELECT query_id, node, mass FROM n{i + 1} UNION ALL SELECT query_id, node, -mass FROM m{i} JOIN live{i} USING (query_id)) GROUP BY query_id, node) GROUP BY query_id HAVING sum(abs(moved)) >= {diffusion.TOLERANCE}),
+m{i + 1} AS MATERIALIZED (SELECT query_id, node, mass FROM n{i + 1} UNION ALL SELECT query_id, node, mass FROM m{i} WHERE query_id NOT IN (SELECT query_id FROM live{i}))""")
     return ", ".join(out)
 
 
 def _mass(spark, d) -> tuple[DataFrame, DataFrame]:
     fused = materialise(_fused(spark, d), "fused")
-    return fused, diffusion.pagerank(diffusion.seed_masses(fused, 10), linkgraph.transitions(_merged(spark, d)), rounds=_ROUNDS, tolerance=0)
+    return fused, diffusion.pagerank(diffusion.seed_masses(fused, 10), linkgraph.transitions(_merged(spark, d)))
 
 
 _WALK = f"{_FUSED}, {_GRAPH}, {_MOVES}, seed AS (SELECT query_id, key AS node, 1.0 / frank AS mass FROM fused WHERE frank <= 10), {_walk_sql('seed')}"
@@ -588,19 +589,6 @@ def f4_pagerank(spark, d):
 SQL["f4_pagerank"] = f"WITH {_WALK} SELECT query_id, node, round(mass, 6) AS mass FROM m{_ROUNDS}"
 
 
-@query
-def f4_pagerank_suppliers(spark, d):
-    """The same kernel over the graph of parts and suppliers that lineitem holds; five parts are the seeds of as many queries."""
-    line = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    edges = line.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    moves = linkgraph.transitions(edges.unionAll(edges.select("dst", "src", "weight")))
-    seeds = spark.range(1, 6).select(F.col("id").alias("query_id"), F.concat(F.lit("p"), "id").alias("node"), F.lit(1.0).alias("mass"))
-    return diffusion.pagerank(seeds, moves, rounds=_ROUNDS, tolerance=0).select("query_id", "node", *six("mass"))
-
-
-SQL["f4_pagerank_suppliers"] = f"""WITH lines AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY ALL),
-merged AS (SELECT * FROM lines UNION ALL SELECT dst, src, weight FROM lines), {_MOVES}, seed AS (SELECT range AS query_id, 'p' || range AS node, 1.0 AS mass FROM range(1, 6)), {_walk_sql("seed")} SELECT query_id, node, round(mass, 6) AS mass FROM m{_ROUNDS}"""
-
 _RANKED = f"""{_WALK}, walked AS (
   SELECT coalesce(m.query_id, f.query_id) AS query_id, coalesce(m.node, f.key) AS key, coalesce(m.mass, 0) AS score, f.frank
   FROM (SELECT * FROM m{_ROUNDS} WHERE node IN (SELECT path FROM wiki_docs)) m FULL JOIN fused f ON f.query_id = m.query_id AND f.key = m.node
@@ -676,15 +664,15 @@ CASE WHEN vector_hits > 0 AND lexical_hits > 0 AND NOT abstained THEN 'hybrid' W
 
 @query
 def f9_results(spark, d):
-    """Texts of the results: their titles, snippets and provenance. No SQL unrolls this one, so mass moves until it settles, as in production."""
-    return _search(spark, d, Options(), diffusion.TOLERANCE).results.select("query_id", "path", "title", "snippet", "related")
+    """Texts of the results: their titles, snippets and provenance."""
+    return _search(spark, d).results.select("query_id", "path", "title", "snippet", "related")
 
 
-def _search(spark, d, options: Options = Options(iterations=_ROUNDS), tolerance: float = 0) -> ladder.Found:
+def _search(spark, d) -> ladder.Found:
     docs = docs_of(spark, d)
     mentions = linkgraph.with_definitions(mentions_of(spark, d), docs)
     corpus = ladder.build(docs, chunks_of(spark, d), materialise(mentions, "mentions"))
-    return ladder.search(corpus, asked_of(spark, d), 10, options, tolerance=tolerance)
+    return ladder.search(corpus, asked_of(spark, d), 10)
 
 
 # --- B, Q, M, K: context, log, measures, checks ---------------------------------------------------------------------------

@@ -321,7 +321,8 @@ def test_embedding_again_from_the_command_line(tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().split("\n")[-1])["answer"] == "A bridge spans it [1]."
 
 
-def test_results_run_production_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["f4_pagerank", "f5_ranked_by_mass", "f9_results", "f11_search"])
+def test_queries_run_production_rounds(spark, monkeypatch, name):
     from corpusrank.operators import diffusion
     from corpusrank.plans import retrieval
 
@@ -330,11 +331,11 @@ def test_results_run_production_rounds(spark, monkeypatch):
     class Stop(Exception):
         pass
 
-    def record(seeds, transitions, alpha, rounds, tolerance):
-        asked.append((rounds, tolerance))
+    def record(seeds, transitions, alpha=diffusion.ALPHA, rounds=diffusion.ROUNDS, tolerance=diffusion.TOLERANCE):
+        asked.append((alpha, rounds, tolerance))
         raise Stop
 
     monkeypatch.setattr(diffusion, "pagerank", record)
     with pytest.raises(Stop):
-        retrieval.f9_results(spark, SMALL)
-    assert asked == [(60, 1e-8)]
+        retrieval.QUERIES[name](spark, SMALL)
+    assert asked == [(0.15, 60, 1e-8)]
