@@ -38,8 +38,8 @@ LEAF_ROWS, LEAF_BITS, LEAF_LEVELS, LAYOUT_ROWS = 32_768, 4, 6, 20_000
 #: Pairs of strings compared at a time.
 _AT_ONCE = 1 << 19
 _U = np.uint64
-#: Probes and items in a block of the exact comparison.
-_PROBES, _ITEMS = 2048, 16384
+#: Probes and items in a block of the exact comparison; blocks of probes that come to one copy of a block of items.
+_PROBES, _ITEMS, _IN_TURN = 2048, 16384, 16
 _SEED = 20240
 
 
@@ -346,23 +346,29 @@ def similar_vectors(items: DataFrame, probes: DataFrame | None = None, k: int =
     return found.select("probe_kind", "probe_id", F.col("x.n").alias("neighbour_id"), F.col("x.cosine").alias("cosine"))
 
 
-def _in_blocks(probes: DataFrame, items: DataFrame, n_probes: int, n_items: int, k: int, least: float, probe_block: int = _PROBES, item_block: int = _ITEMS) -> DataFrame:
+def _in_blocks(probes: DataFrame, items: DataFrame, n_probes: int, n_items: int, k: int, least: float, probe_block: int = _PROBES, item_block: int = _ITEMS, in_turn: int = _IN_TURN) -> DataFrame:
     """(p, q, cosine) with the ``k`` nearest of ``items(cls, low, vector)`` for each of ``probes(cls, vector)``, and more: the ``k`` best of every block.
 
     None is missing: of each block those of greatest cosine to 9 digits stay, ties to the smaller ``low``. A class is not its own neighbour. A task holds
-    one block of either side at a time.
+    one block of either side at a time: a block of items, to which up to ``in_turn`` blocks of probes come one after the other. They meet by their
+    place in a sorted partition, not by a join: a block of probes is small, its copies for all blocks of items are not, and Spark judges by the
+    former whether to gather them in the driver for a broadcast.
     """
     pb, cb = max(1, math.ceil(n_probes / probe_block)), max(1, math.ceil(n_items / item_block))
+    cores = probes.sparkSession.sparkContext.defaultParallelism
+    turns = min(pb, max(math.ceil(pb / in_turn), math.ceil(2 * cores / cb)))  # few blocks of items come to more tasks
 
-    def pack(df: DataFrame, blocks: int, name: str, *extra: str) -> DataFrame:
-        keyed = df.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias(name), F.struct("cls", *extra, "vector").alias("x"))
-        xs = keyed.groupBy("dims", name).agg(F.collect_list("x").alias("xs"))  # a block, about
-        return xs.select("dims", name, *(F.col(f"xs.{c}").alias(f"{name}_{c}") for c in ("cls", *extra)), F.flatten("xs.vector").alias(f"{name}_flat"))
+    def pack(df: DataFrame, blocks: int, low: Column, side: int) -> DataFrame:
+        keyed = df.select(F.size("vector").alias("dims"), F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block"), F.struct("cls", low.alias("low"), "vector").alias("x"))
+        xs = keyed.repartition(max(cores, blocks), "dims", "block").groupBy("dims", "block").agg(F.collect_list("x").alias("xs"))  # a block, about
+        return xs.select("dims", "block", F.lit(side).alias("side"), F.col("xs.cls").alias("cls"), F.col("xs.low").alias("low"), F.flatten("xs.vector").alias("flat"))
 
-    # every pair of blocks is a row of its own, so that the work of one number of dims is spread over all tasks
-    asked = pack(probes, pb, "pb").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cb - 1).cast("long"))))
-    both = asked.join(pack(items, cb, "cb", "low"), ["dims", "cb"])
-    both = both.repartition(min(pb * cb * 2, 4096), "dims", "pb", "cb")
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    held = pack(items, cb, F.col("low"), 0).withColumns({"cb": F.col("block"), "turn": each(turns)})
+    asked = pack(probes, pb, F.lit(None).cast("long"), 1).withColumns({"cb": each(cb), "turn": F.pmod("block", F.lit(turns))})
+    both = held.unionByName(asked).repartition(min(cb * turns * 2, 4096), "dims", "cb", "turn").sortWithinPartitions("dims", "cb", "turn", "side", "block")
 
     def units(flat, dims: int) -> np.ndarray:
         x = flat.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
@@ -370,11 +376,17 @@ def _in_blocks(probes: DataFrame, items: DataFrame, n_probes: int, n_items: int,
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ci, low, y = None, None, None, None
         for batch in it:
             for i in range(batch.num_rows):
-                dims = batch.column("dims")[i].as_py()
-                pi, ci, low = (batch.column(n)[i].values.to_numpy() for n in ("pb_cls", "cb_cls", "cb_low"))
-                x, y = (units(batch.column(n)[i], dims) for n in ("pb_flat", "cb_flat"))
+                dims, *place, side = (batch.column(n)[i].as_py() for n in ("dims", "cb", "turn", "side"))
+                if side == 0:  # copied, as the batch is not kept
+                    here, ci, low = (dims, *place), batch.column("cls")[i].values.to_numpy().copy(), batch.column("low")[i].values.to_numpy().copy()
+                    y = units(batch.column("flat")[i], dims)
+                    continue
+                if here != (dims, *place):  # no items there of that length
+                    continue
+                pi, x = batch.column("cls")[i].values.to_numpy(), units(batch.column("flat")[i], dims)
                 for at in range(0, len(x), 256):
                     ids = pi[at : at + 256]
                     s = x[at : at + 256] @ y.T

@@ -57,3 +57,24 @@ def test_near_copies_that_are_a_third_of_the_rows(spark):
     a = np.stack([np.array(r["vector"]) for r in asked.orderBy("id").collect()])
     near = np.argsort(-(a / np.linalg.norm(a, axis=1)[:, None] @ u.T), axis=1, kind="stable")[:, :5]
     assert {("query", i, int(j)) for i in range(50) for j in near[i]} <= got
+
+
+def test_exact_comparison_gathers_nothing_in_the_driver(spark):
+    rng = np.random.default_rng(5)
+    x, y = ([*rng.standard_normal((n, 8)), *rng.standard_normal((n // 2, 5))] for n in (60, 3000))
+    x += [rng.standard_normal(3)]  # no item has that length
+    probes = spark.createDataFrame([(-i, [float(v) for v in r]) for i, r in enumerate(x, 1)], "cls long, vector array<float>")
+    items = spark.createDataFrame([(i, -i, [float(v) for v in r]) for i, r in enumerate(y)], "cls long, low long, vector array<float>")
+    out = neighbours._in_blocks(probes, items, len(x), len(y), 5, 0.5, probe_block=16, item_block=64)
+    got: dict[int, list[tuple[float, int]]] = {}
+    for r in out.collect():
+        got.setdefault(-r["p"] - 1, []).append((-round(r["cosine"], 9), -r["q"]))
+    unit = lambda v: (f := v.astype(np.float32).astype(np.float64)) / np.linalg.norm(f)
+    for i, v in enumerate(x):
+        true = sorted((-round(c, 9), -j) for j, w in enumerate(y) if len(w) == len(v) and (c := float(unit(v) @ unit(w))) >= 0.5)[:5]
+        assert [q for _, q in sorted(got.get(i, []))[:5]] == [q for _, q in true]
+    # the probes are few, but not their copies for every block of items
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    turns = neighbours._in_blocks(probes, items, len(x), len(y), 5, 0.5, probe_block=16, item_block=64, in_turn=2)
+    key = lambda rows: sorted((r["p"], r["q"], round(r["cosine"], 9)) for r in rows)
+    assert key(turns.collect()) == key(out.collect())
