@@ -105,3 +105,21 @@ HOSTILE = ['"', "' OR 1=1", "NEAR(a b)", "a AND NOT b", "col:val", "*", "^x", "(
 def test_hostile_queries_do_not_fail(spark, docs):
     d = corpus(docs)
     assert lexical.lexical_lane(lexical.index_documents(d), d, asked(spark, *HOSTILE)).count() >= 0
+
+
+def test_only_the_best_of_each_block_are_shuffled(spark, docs, monkeypatch):
+    from corpusrank.operators import blocks
+
+    d = docs(*((f"wiki/p{i:03d}.md", f"P{i}", "alpha beta " * (i % 7 + 1)) for i in range(200)))
+    sent, best = [], blocks.best
+
+    def counted(queries, score, k, width, digits=None):
+        return best(queries, lambda table, pack: sent.append(score(table, pack)) or sent[-1], k, width, digits)
+
+    monkeypatch.setattr(blocks, "best", counted)
+    index = lexical.index_documents(d)
+    found = lexical.bm25(index, asked(spark, *["alpha beta"] * 5), 3).collect()
+    tasks = sent[0].rdd.getNumPartitions()
+    assert len(found) == 15 and sent[0].agg(F.sum(F.length("items") / 8)).first()[0] <= 5 * 3 * tasks < 5 * 200
+    phrase = lexical.bm25(index, asked(spark, "alpha—beta", "beta—alpha alpha"), None).collect()
+    assert {r["query_id"] for r in phrase} == {0, 1} and len([r for r in phrase if r["query_id"] == 0]) == 200
