@@ -158,3 +158,24 @@ def test_both_ways_of_walking_stop_each_query_alike(spark, tolerance):
     seeds = spark.createDataFrame([(1, "n1", 1.0), (1, "n9", 0.5), (2, "a", 1.0), (3, "nowhere", 1.0), (4, "n3", 1.0)], "query_id int, node string, mass double")
     walked = [{(r["query_id"], r["node"]): r["mass"] for r in diffusion.pagerank(seeds, moves, rounds=12, tolerance=tolerance, kernel_rows=n).collect()} for n in (10**6, 0)]
     assert walked[0].keys() == walked[1].keys() and all(walked[1][k] == pytest.approx(m, abs=1e-12) for k, m in walked[0].items())
+
+
+def test_nearest_chunks_are_those_of_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from corpusrank.operators import blocks
+
+    rng = np.random.default_rng(5)
+    v, q = np.round(rng.normal(size=(900, 6)), 1), np.round(rng.normal(size=(7, 6)), 1)
+    v[300:600] = v[:300]  # ties
+    c = spark.createDataFrame([(f"p{i % 40:02d}", i, [float(x) for x in r]) for i, r in enumerate(v)], "page_id string, chunk_index int, vector array<float>")
+    asked = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id int, vector array<float>")
+    sent, best = [], blocks.best
+    monkeypatch.setattr(blocks, "best", lambda queries, score, k, width, digits=None: best(queries, lambda table, pack: sent.append(score(table, pack)) or sent[-1], k, width, digits))
+    got = {(r["query_id"], r["rank"]): (r["page_id"], r["chunk_index"]) for r in vectors.nearest_chunks(c, asked, 12).collect()}
+    v32, q32 = v.astype(np.float32).astype(float), q.astype(np.float32).astype(float)
+    cos = (q32 / np.linalg.norm(q32, axis=1)[:, None]) @ (v32 / np.linalg.norm(v32, axis=1)[:, None]).T
+    for i in range(7):
+        first = sorted(range(900), key=lambda j: (-round(cos[i, j], 12), f"p{j % 40:02d}", j))[:12]
+        assert [got[i, n + 1] for n in range(12)] == [(f"p{j % 40:02d}", j) for j in first]
+    assert sent[0].agg(F.sum(F.length("items") / 8)).first()[0] <= 7 * 12 * sent[0].rdd.getNumPartitions()
