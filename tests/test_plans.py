@@ -339,3 +339,24 @@ def test_queries_run_production_rounds(spark, monkeypatch, name):
     with pytest.raises(Stop):
         retrieval.QUERIES[name](spark, SMALL)
     assert asked == [(0.15, 60, 1e-8)]
+
+
+def test_results_answer_every_logged_query(spark, monkeypatch):
+    from corpusrank.plans import retrieval
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def record(corpus, queries, k):
+        asked.append(queries.count())
+        raise Stop
+
+    monkeypatch.setattr(ladder, "build", lambda *a: None)
+    monkeypatch.setattr(ladder, "search", record)
+    for name in ("f9_results", "f11_search"):
+        with pytest.raises(Stop):
+            retrieval.QUERIES[name](spark, SMALL)
+    log = retrieval.log_of(spark, SMALL)
+    assert asked == [log.count(), log.where("id % 20 = 0").count()] and asked[0] > asked[1] > 0
