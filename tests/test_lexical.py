@@ -123,3 +123,34 @@ def test_only_the_best_of_each_block_are_shuffled(spark, docs, monkeypatch):
     assert len(found) == 15 and sent[0].agg(F.sum(F.length("items") / 8)).first()[0] <= 5 * 3 * tasks < 5 * 200
     phrase = lexical.bm25(index, asked(spark, "alpha—beta", "beta—alpha alpha"), None).collect()
     assert {r["query_id"] for r in phrase} == {0, 1} and len([r for r in phrase if r["query_id"] == 0]) == 200
+
+
+ODD = ["alpha", "alpha beta", "al", "beta alpha", "é", "'", "  ", "知识图谱", "p1", "alpha. beta", "x2 art", "gamma-delta", "P00", "naïve straße"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substring_scores_equal_brute_force_without_a_cross_join(spark, docs, monkeypatch):
+    from corpusrank.operators import blocks
+
+    d = corpus(docs).unionByName(docs(("raw/sources/Alpha Beta.txt", "alpha beta", "Alpha beta alpha beta.\nalpha. Beta", "source"), ("wiki/图谱.md", None, "知识图谱 和 检索"), ("wiki/e.md", "E", None)))
+    sent, best = [], blocks.best
+    monkeypatch.setattr(blocks, "best", lambda queries, score, k, width, digits=None: best(queries, lambda table, pack: sent.append(score(table, pack)) or sent[-1], k, width, digits))
+    got = {(r["query_id"], r["key"]): (r["score"], r["rank"], r["title_match"]) for r in lexical.substring_scores(d, asked(spark, *ODD), 5).collect()}
+    read = spark.createDataFrame([(i, q) for i, q in enumerate(ODD)], "i int, q string").select("i", t.query_phrase(F.col("q")), t.query_tokens(F.col("q"))).collect()
+    want = {}
+    for i, phrase, words in read:
+        scored = []
+        for path, title, content, kind, *_ in d.collect():
+            name, body = path.split("/")[-1].lower(), (content or "").lower()
+            head, stem = f"{title or ''} {name}".lower(), name.rsplit(".", 1)[0]
+            some = words or [ODD[i].strip().lower()]
+            titled, in_title = bool(phrase) and phrase in head, sum(w in head for w in some)
+            points = (200 if phrase and stem == phrase else 0) + 50 * titled + 20 * min(10, body.count(phrase) if phrase else 0) + 5 * in_title + sum(w in body for w in some)
+            if points:
+                scored.append((-round(points * (0.6 if kind == "source" else 1.0), 6), path, titled or in_title > 0))
+        want |= {(i, path): (pytest.approx(-s), n, m) for n, (s, path, m) in enumerate(sorted(scored)[:5], 1)}
+    assert got == want
+    assert "Join" not in plan_of(sent[0]) and sent[0].agg(F.sum(F.length("items") / 8)).first()[0] <= len(ODD) * 5 * sent[0].rdd.getNumPartitions()
