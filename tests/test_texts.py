@@ -100,3 +100,21 @@ def test_generated_blocks(spark):
     assert got.reviews == [{"type": "duplicate", "title": "Same?", "description": "Why", "options": ["Skip"], "pages": ["a", "b"], "search": []}]
     row = generated.generated_table(spark.createDataFrame([("1", text), ("2", None)], "id string, text string")).orderBy("id").collect()
     assert len(row[0]["files"]) == 1 and row[1]["files"] == []
+
+
+ASKED = ["alpha", "alpha beta", "beta zeta", "al", "of", "title", "gamma. delta", "zeta\\nx"]
+TEXTS = [("wiki/alpha-one.md", "One", "---\ntitle: alpha\n---\n\n" + "word " * 40 + "Alpha beta\nzeta " + "word " * 40), ("wiki/b.md", "Beta", "beta"), ("wiki/c.md", None, None), ("wiki/d.md", "D", "gamma. delta \u00a0 "), ("wiki/e.md", "title", "\u2003alpha x alpha")]
+
+
+def test_snippets_and_title_matches_equal_those_of_each_pair_without_a_cross_join(spark, docs):
+    from corpusrank.operators import fusion
+
+    d = docs(*TEXTS)
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(ASKED)], "query_id int, query string")
+    pairs = d.join(asked.select("query_id", "query", t.query_tokens(F.col("query")).alias("w"), t.query_phrase(F.col("query")).alias("p")).where("size(w) > 0"))
+    one = fusion.result_snippet(F.col("content"), F.col("w"), F.col("p"), F.col("query"), F.array().cast("array<string>"))
+    cut = fusion.all_snippets(d, asked)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, pairs.where(F.exists("w", lambda x: F.contains(F.lower("content"), x))).select("query_id", "path", one).collect()))
+    match = fusion.all_title_matches(d, asked)
+    assert sorted(map(tuple, match.collect())) == sorted(map(tuple, pairs.where(fusion.title_matches(F.col("title"), F.col("path"), F.col("w"), F.col("p"))).select("query_id", "path").collect()))
+    assert all("Join" not in f._jdf.queryExecution().optimizedPlan().toString() for f in (cut, match))
