@@ -179,3 +179,14 @@ def test_nearest_chunks_are_those_of_brute_force(spark, monkeypatch):
         first = sorted(range(900), key=lambda j: (-round(cos[i, j], 12), f"p{j % 40:02d}", j))[:12]
         assert [got[i, n + 1] for n in range(12)] == [(f"p{j % 40:02d}", j) for j in first]
     assert sent[0].agg(F.sum(F.length("items") / 8)).first()[0] <= 7 * 12 * sent[0].rdd.getNumPartitions()
+
+
+def test_ranking_takes_only_the_best_masses_from_the_walk(spark):
+    edges = [(f"n{i:02d}", f"n{(i * 7 + 3) % 60:02d}", 1.0 + i % 3) for i in range(60)] + [(f"n{i:02d}", f"n{i + 1:02d}", 0.7) for i in range(59)]
+    mass = walk(spark, edges, [(1, "n01", 1.0), (1, "out", 0.5), (2, "n40", 1.0)])
+    keep = spark.createDataFrame([(f"n{i:02d}",) for i in range(0, 60, 2)] + [("out",)], "key string")
+    fused = spark.createDataFrame([(1, "n01", 1), (1, "out", 2), (2, "n40", 1), (3, "n02", 1)], "query_id int, key string, rank int")
+    cut = mass.best(keep, 4)
+    assert cut.where("query_id = 2").count() < 15 < mass.where("query_id = 2").count()
+    whole = spark.createDataFrame(mass.collect(), mass.schema)
+    assert rows(diffusion.ranked_by_mass(mass, fused, keep, 4), "query_id", "key", "rank") == rows(diffusion.ranked_by_mass(whole, fused, keep, 4), "query_id", "key", "rank")
