@@ -190,3 +190,14 @@ def test_ranking_takes_only_the_best_masses_from_the_walk(spark):
     assert cut.where("query_id = 2").count() < 15 < mass.where("query_id = 2").count()
     whole = spark.createDataFrame(mass.collect(), mass.schema)
     assert rows(diffusion.ranked_by_mass(mass, fused, keep, 4), "query_id", "key", "rank") == rows(diffusion.ranked_by_mass(whole, fused, keep, 4), "query_id", "key", "rank")
+
+
+def test_related_pages_are_cut_where_they_are_made(spark, docs):
+    pages = [(f"wiki/p{i:02d}.md", f"T{i}", "x", "wiki", [f"p{j:02d}" for j in {(i * 3) % 40, (i * 7 + 1) % 40, 0}], [f"s{i % 9}.pdf", f"s{i % 4}.pdf"][: i % 3], ["", "note", "idea", None][i % 4]) for i in range(40)]
+    d = docs(*pages)
+    of = d.selectExpr("path src")
+    got = linkgraph.related_pages(d, of, 5)
+    joined = linkgraph.related_pages(d, of, 5, kernel_rows=0)
+    places = lambda f: {(r["src"], r["rank"]): (r["dst"], pytest.approx(r["weight"], abs=1e-9)) for r in f.collect()}
+    assert places(got) == places(joined) and got.count() == 200
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
